@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back, text_under
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing, packed_matrices
 from .simhash import simhash_components
@@ -27,6 +28,10 @@ def op3_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -60,6 +65,7 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_streaming_exact_dedup": op3_streaming_exact_dedup,
+    "op4_winnowing": op4_winnowing,
     "op8_chat_format": op8_chat_format,
     "op9_simhash_multi_index": op9_simhash_multi_index,
     "op2_packed_matrices": op2_packed_matrices,
@@ -78,6 +84,35 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+""",
+    "op4_winnowing": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), sizes AS (
+  SELECT DISTINCT least(13, len(w)) AS n FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, list_aggregate(w[i : i + least(13, len(w)) - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), grams AS (
+  SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, n, i FROM grams JOIN windows USING (n, gram)
+), n_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
     "op8_chat_format": r"""
 WITH t AS (

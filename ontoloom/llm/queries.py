@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .packing import best_fit_packing, packed_matrices
 from .simhash import simhash_components
 from .token_counts import prefix_token_counts
+from .toxicity import held_out, toxicity_scores
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,11 +64,18 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    out = toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES = {
     "op3_streaming_exact_dedup": op3_streaming_exact_dedup,
     "op4_winnowing": op4_winnowing,
     "op8_chat_format": op8_chat_format,
     "op9_simhash_multi_index": op9_simhash_multi_index,
+    "op10_toxicity_neighbours": op10_toxicity_neighbours,
     "op2_packed_matrices": op2_packed_matrices,
     "op5_best_two_fit": op5_best_two_fit,
     "op7_prefix_token_counts": op7_prefix_token_counts,

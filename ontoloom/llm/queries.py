@@ -10,6 +10,8 @@ from .chat import format_conversations, read_back, text_under
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing, packed_matrices
+from .pseudonyms import pseudonymised
+from .secrets import labelled_findings, secrets, train
 from .simhash import simhash_components
 from .token_counts import prefix_token_counts
 from .toxicity import held_out, toxicity_scores
@@ -21,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+
+
 def op2_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_matrices(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -37,6 +43,11 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, key=b"a key for tests; pass your own")
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = prefix_token_counts(docs, BYTE_BPE, keep_deltas=False)
@@ -71,6 +82,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op3_streaming_exact_dedup": op3_streaming_exact_dedup,
     "op4_winnowing": op4_winnowing,
     "op8_chat_format": op8_chat_format,
@@ -78,6 +90,7 @@ QUERIES = {
     "op10_toxicity_neighbours": op10_toxicity_neighbours,
     "op2_packed_matrices": op2_packed_matrices,
     "op5_best_two_fit": op5_best_two_fit,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_prefix_token_counts": op7_prefix_token_counts,
 }
 

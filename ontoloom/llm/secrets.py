@@ -1,6 +1,6 @@
 """Secret scans with a random forest for false positives, in Spark expressions only (operator 1).
 
-A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ = -`` in a word of a text, with a letter
+A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ -`` in a word of a text, with a letter
 and a digit. Its features are its length, how often the kind of character changes, how prose-like
 its letter pairs are, how much of it the words of a dictionary cover, what its path (the column
 ``source``) looks like, and the words beside it. A random forest, trained from labelled findings,
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty
 
-_CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+_CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Words of names and placeholders: what they cover of a candidate is not random.
 DICTIONARY = (
     "access account address admin api application auth base branch build cache change changeme client cloud code commit config "

@@ -1,0 +1,5 @@
+"""The registered queries over the test tables."""
+
+from . import retrieval, text
+
+ALL = (text.PLANS, retrieval.PLANS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.metrics import precision_recall_f1, ratio
 
@@ -75,32 +77,39 @@ def augmenting_matches(edges: dict[int, list[int]]) -> dict[int, int]:
     return owner
 
 
-def match_edges(edges: DataFrame, tiers: bool = False) -> DataFrame:
-    """From (case_id, left, right, tier): the matched (case_id, left, right, tier).
+_EDGE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("tier", "left", "right")])
 
-    Within a case, edges of tier 0 are matched first, what they match is taken out, then tier 1
-    and so on. One Arrow group for each case: a case's findings are a short list.
-    """
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
+@pandas_udf(T.ArrayType(_EDGE))
+def _matched(edges: pd.Series) -> pd.Series:
+    def one(rows) -> list[dict]:
         out, lefts, rights = [], set(), set()
-        for tier, own in frame.sort_values(["tier", "left", "right"]).groupby("tier"):
-            free: dict[int, list[int]] = {}
-            for a, b in zip(own["left"].tolist(), own["right"].tolist()):
-                if a not in lefts and b not in rights:
-                    free.setdefault(a, []).append(b)
+        by_tier: dict[int, dict[int, list[int]]] = {}
+        for e in rows:
+            by_tier.setdefault(e["tier"], {}).setdefault(e["left"], []).append(e["right"])
+        for tier in sorted(by_tier):
+            free = {a: [b for b in own if b not in rights] for a, own in by_tier[tier].items() if a not in lefts}
             for b, a in augmenting_matches(free).items():
-                out.append((frame["case_id"].iloc[0], a, b, tier))
+                out.append({"tier": tier, "left": a, "right": b})
                 lefts.add(a)
                 rights.add(b)
-        return pd.DataFrame(out, columns=["case_id", "left", "right", "tier"])
+        return out
 
-    kinds = dict(edges.dtypes)
-    edges = edges if "tier" in kinds else edges.withColumn("tier", F.lit(0))
-    kind = dict(edges.dtypes)["case_id"]
-    return edges.select("case_id", F.col("left").cast("int"), F.col("right").cast("int"), F.col("tier").cast("int")).groupBy("case_id").applyInPandas(
-        match, f"case_id {kind}, left int, right int, tier int"
-    )
+    return edges.map(one)
+
+
+def match_edges(edges: DataFrame) -> DataFrame:
+    """From (case_id, left, right and, if there are tiers, tier): the matched rows.
+
+    Within a case, edges of tier 0 are matched first, what they match is taken out, then tier 1
+    and so on. A case's edges are one array (its findings are a short list), so that many cases
+    go to Python in one Arrow batch.
+    """
+    if "tier" not in edges.columns:
+        edges = edges.withColumn("tier", F.lit(0))
+    one = F.struct(*[F.col(c).cast("int").alias(c) for c in ("tier", "left", "right")])
+    by_case = edges.groupBy("case_id").agg(F.sort_array(F.collect_list(one)).alias("edges"))
+    return by_case.select("case_id", F.explode(_matched("edges")).alias("m")).select("case_id", "m.left", "m.right", "m.tier")
 
 
 def group_scores(predicted: DataFrame, reference: DataFrame) -> DataFrame:

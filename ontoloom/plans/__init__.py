@@ -1,5 +1,5 @@
 """The registered queries over the test tables."""
 
-from . import retrieval, text
+from . import decisions, retrieval, scoring, stats, text
 
-ALL = (text.PLANS, retrieval.PLANS)
+ALL = (text.PLANS, retrieval.PLANS, scoring.PLANS, decisions.PLANS, stats.PLANS)

@@ -36,8 +36,9 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
     """Pack items, given as how many there are of each length, into bins.
 
     A bin is filled greedily with the longest item that still fits. Then its smallest item is
-    replaced by the two unpacked items that together fill the gap it leaves best, if they fill
-    it better than it does. Bins that come out alike are made at once, so the work grows with
+    replaced by the two unpacked items, each of a sixth of the capacity or more (smaller ones are
+    worth more later), that together fill the gap it leaves best, if they fill it better than it
+    does; of pairs that fill it alike, the most even one. Bins that come out alike are made at once, so the work grows with
     the number of lengths, not of items: no more than a few bins' kinds for each length.
     Returns (lengths in the bin, number of such bins).
     """
@@ -62,14 +63,14 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
         if room and len(items) > 1:
             smallest = items[-1]
             gap, best = room + smallest, None
-            rest = [k for k in lengths if k < gap and left.get(k, 0) - used[k] > 0]
+            rest = [k for k in lengths if k < gap and 6 * k >= capacity and left.get(k, 0) - used[k] > 0]
             i, j = 0, len(rest) - 1  # two pointers: rest is in descending order
             while i <= j:
                 total = rest[i] + rest[j]
                 if total > gap:
                     i += 1
                     continue
-                if (i != j or left[rest[i]] - used[rest[i]] > 1) and total > smallest and (best is None or total > best[0]):
+                if (i != j or left[rest[i]] - used[rest[i]] > 1) and total > smallest and (best is None or total >= best[0]):
                     best = (total, rest[i], rest[j])
                 j -= 1
             if best:

@@ -65,10 +65,10 @@ def plain_two_fit(items, capacity):
                 room -= x
         if room and len(own) > 1:
             gap = room + own[-1]
-            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if own[-1] < a + b <= gap]
+            fit = [x for x in left if 6 * x >= capacity]
+            pairs = [(a + b, b, a) for i, a in enumerate(fit) for b in fit[i + 1 :] if own[-1] < a + b <= gap]
             if pairs:
-                best = max(p[0] for p in pairs)
-                _, a, b = max(p for p in pairs if p[0] == best)
+                _, b, a = max(pairs)
                 left.append(own.pop())
                 left.remove(a)
                 left.remove(b)

@@ -52,16 +52,17 @@ def coordinated(phrase: str, note: str) -> list[tuple[int, int]] | None:
 
 
 def closest_window(phrase: str, note: str) -> tuple[float, int, int]:
-    """(ratio, start, stop) of the window of the phrase's length that is most like it. Windows are
-    compared in full only where they share the phrase's rarest pair of letters."""
-    n, best = len(phrase), (0.0, 0, 0)
+    """(ratio, start, stop) of the window of the phrase's length that is most like it; of equal ones
+    the first that begins with the same letter. Windows with less than half of the phrase's
+    letters are passed over."""
+    n, best = len(phrase), (0.0, False, 0, 0)
     for start in range(0, max(1, len(note) - n + 1)):
         window = note[start : start + n]
         if len(set(window) & set(phrase)) * 2 >= len(set(phrase)):
-            got = ratio(phrase, window)
-            if got > best[0]:
-                best = (got, start, start + len(window))
-    return best
+            got = (ratio(phrase, window), window[:1].casefold() == phrase[:1].casefold())
+            if got > best[:2]:
+                best = (*got, start, start + len(window))
+    return best[0], best[2], best[3]
 
 
 def place(note: str, phrases: list[str]) -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_phrase, signature, token_spans, tokens
+from ..functions.text import normalize_phrase, signature, stem, token_spans, tokens
 
 #: Words that are no finding by themselves.
 SINGLE_WORDS = (
@@ -35,34 +35,40 @@ def morphological_lexicon(exact: DataFrame, most: int = 8) -> DataFrame:
     return rows.groupBy("signature", "n_tokens").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def spans(notes: DataFrame, lengths: list[int]) -> DataFrame:
-    """(note_id, key, n_tokens, start, stop) of every run of words of the given lengths."""
+def spans(notes: DataFrame, lengths: list[int], stems: bool = False) -> DataFrame:
+    """(note_id, key, signature, n_tokens, start, stop) of every run of words of the given lengths.
+    Words are normalised and stemmed once each, before runs are made of them."""
     rows = notes.select("note_id", token_spans("text").alias("t"))
-    words = F.transform("t", lambda t: normalize_phrase(t["text"]))
-    rows = rows.select("note_id", "t", words.alias("w"))
-    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(
-        F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("key"), n.alias("n_tokens"), F.get("t", i - 1)["start"].alias("start"), F.get("t", i + n - 2)["stop"].alias("stop")),
-    )))
+    rows = rows.select("note_id", "t", F.transform("t", lambda t: F.lower(t["text"])).alias("w"))
+    # Only words with marks in them need the pattern; such a word normalises to several, or none.
+    rows = rows.withColumn("w", F.transform("w", lambda w: F.when(w.rlike(r"[^\p{L}\p{N}]"), normalize_phrase(w)).otherwise(w)))
+    rows = rows.withColumn("s", F.transform("w", stem) if stems else F.col("w"))
+
+    def run(i: Column, n: Column) -> Column:
+        signed = F.array_join(F.array_sort(F.array_distinct(F.slice("s", i, n))), " ") if stems else F.lit("")
+        return F.struct(
+            F.array_join(F.slice("w", i, n), " ").alias("key"), signed.alias("signature"), n.alias("n_tokens"),
+            F.get("t", i - 1)["start"].alias("start"), F.get("t", i + n - 2)["stop"].alias("stop"),
+        )
+
+    places = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(places(n), lambda i: run(i, n))))
     rows = rows.select("note_id", F.explode(runs).alias("r")).select("note_id", "r.*")
-    # A word with an apostrophe normalises to two: it is in no lexicon.
     return rows.where(F.size(F.split("key", " ")) == F.col("n_tokens"))
 
 
 def mentions(notes: DataFrame, exact: DataFrame, morphological: DataFrame | None = None) -> DataFrame:
     """(note_id, start, stop, n_tokens, evidence, ids): exact hits, and hits by signature where a
-    span has no exact one. ``lengths`` present in the lexicon go to the driver (at most 12)."""
-    lengths = sorted(r[0] for r in exact.select("n_tokens").distinct().collect())
-    if not lengths:
-        lengths = [1]
-    found = spans(notes, lengths)
-    hits = found.join(exact.drop("record_keys"), ["key", "n_tokens"])
-    out = hits.select("note_id", "start", "stop", "n_tokens", F.lit("exact").alias("evidence"), "ids")
+    span has no exact one. Lengths present in the lexicon go to the driver (at most 12). Both
+    lexicons are looked up from the exploded spans, so where they are small nothing is shuffled."""
+    lengths = sorted(r[0] for r in exact.select("n_tokens").distinct().collect()) or [1]
+    found = spans(notes, lengths, stems=morphological is not None).join(exact.select("key", "n_tokens", "ids"), ["key", "n_tokens"], "left" if morphological is not None else "inner")
+    out = ["note_id", "start", "stop", "n_tokens"]
     if morphological is None:
-        return out
-    rest = found.join(out.select("note_id", "start", "stop"), ["note_id", "start", "stop"], "left_anti")
-    rest = rest.withColumn("signature", signature(F.split("key", " "))).join(morphological, ["signature", "n_tokens"])
-    return out.unionByName(rest.select("note_id", "start", "stop", "n_tokens", F.lit("morphological").alias("evidence"), "ids"))
+        return found.select(*out, F.lit("exact").alias("evidence"), "ids")
+    found = found.join(morphological.select(F.array_join("signature", " ").alias("signature"), "n_tokens", F.col("ids").alias("alike")), ["signature", "n_tokens"], "left")
+    evidence = F.when(F.col("ids").isNotNull(), "exact").otherwise("morphological")
+    return found.where("ids IS NOT NULL OR alike IS NOT NULL").select(*out, evidence.alias("evidence"), F.coalesce("ids", "alike").alias("ids"))
 
 
 def longest_nonoverlapping(found: DataFrame) -> DataFrame:

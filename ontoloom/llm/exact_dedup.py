@@ -33,9 +33,16 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    # Many small stores: without this each one reserves megabytes of disk for its log.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: In a local folder (tests, or one that machines share) the default manager runs a shell command
+#: for each status it reads; this one doesn't.
+_LOCAL = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
+#: Entries for which one more state partition is worth opening a store, up to the session's number.
+PER_STORE = 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -61,8 +68,14 @@ class ExactDedup:
     def add(self, docs: DataFrame) -> None:
         """Take in documents (doc_id, text) and bring the state up to date."""
         self._keyed(docs).drop("plain").write.mode("append").parquet(f"{self.folder}/entries")
-        kept = {k: self.spark.conf.get(k, None) for k in _STATE}
-        for k, v in _STATE.items():
+        rows = self.spark.read.parquet(f"{self.folder}/entries").count()
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # A state that is there already keeps its number of partitions.
+        settings = _STATE | {"spark.sql.shuffle.partitions": str(min(most, max(4, rows // PER_STORE)))}
+        if self.folder.startswith(("file:", "/")):
+            settings |= _LOCAL
+        kept = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:
             first = F.min(F.struct((-F.col("n_points")).alias("less"), "doc_id", "file"))

@@ -105,7 +105,9 @@ class ExactDedup:
             groups = F.broadcast(groups)
         hits = self._keyed(docs).join(groups, "digest")
         same = lambda x: x["doc_id"].eqNullSafe(x["keep_id"]) & (x["n_points"] == x["keep_points"]) & (x["file"] == x["keep_file"])
-        believed = hits.where(same(hits)).groupBy("digest").agg(F.min("plain").alias("believed"))
+        # Written, so that the join below has the rows of a digest to itself and a large group of
+        # hits can be split over tasks.
+        believed = stored(hits.where(same(hits)).groupBy("digest").agg(F.min("plain").alias("believed")), "believed")
         checked = stored(
             hits.join(believed, "digest", "left").select(
                 "doc_id", "n_points", "file", "digest", "keep_id", "group_size", "keep_points", "keep_file",

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,20 +33,21 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 #: Beginnings of words that are features beside the words, in characters.
 PREFIXES = (4, 5, 6)
 MIN_LIFT = 3
 #: Occurrences of a term in a text from which it counts as a further feature: the length of a
 #: vector says nothing about its cosine, so that a word is used often must be a term of its own.
 REPEATS = (2, 4)
-#: Counts that a task holds before it passes them on, and words whose features it remembers.
+#: Counts that a task holds before it passes them on.
 _HELD = 300_000
 #: Examples in a block of the index.
-_BLOCK = 64
+_BLOCK = 1024
 
 
-def terms_of(word: str) -> list[str]:
-    return [word] + [word[:n] + "*" for n in PREFIXES if len(word) > n]
+def terms_of(word: str, prefixes: tuple[int, ...] = PREFIXES) -> list[str]:
+    return [word] + [word[:n] + "*" for n in prefixes if len(word) > n]
 
 
 def repeated(counts: Counter) -> Iterator[tuple[str, int]]:
@@ -58,6 +59,38 @@ def repeated(counts: Counter) -> Iterator[tuple[str, int]]:
                 yield t + "+" * k, n
 
 
+def finder(terms: Iterable[str]) -> Callable[[str], Counter]:
+    """Counts ``terms`` (and what they repeat) in a lower-case text: as ``terms_of`` its words, but
+    by one automaton over all terms, which only stops where one of them stands."""
+    from ahocorasick import Automaton
+
+    plain = {t.rstrip("+") for t in terms}
+    machine = Automaton()
+    for bare in {t.rstrip("*") for t in plain}:
+        machine.add_word(bare, (len(bare), bare if bare in plain else None, bare + "*" if bare + "*" in plain else None))
+    if plain:
+        machine.make_automaton()
+    letter = _LETTER.match
+
+    def find(text: str) -> Counter:
+        seen: Counter[str] = Counter()
+        if not plain:
+            return seen
+        end = len(text) - 1
+        for last, (n, word, beginning) in machine.iter(text):
+            first = last - n
+            if first >= 0 and letter(text[first]):
+                continue
+            if last < end and letter(text[last + 1]):
+                if beginning:
+                    seen[beginning] += 1
+            elif word:
+                seen[word] += 1
+        return seen
+
+    return find
+
+
 @dataclass
 class Index:
     """Block-max inverted index over the examples' vectors."""
@@ -81,7 +114,8 @@ class Index:
             weight = np.array([w for _, w in found])
             most = np.zeros(blocks)
             np.maximum.at(most, at // _BLOCK, weight)
-            self.postings[t] = at, weight, most, np.searchsorted(at, np.arange(blocks + 1) * _BLOCK)
+            # within a block, an example is known by its place there
+            self.postings[t] = at % _BLOCK, weight, most, np.searchsorted(at, np.arange(blocks + 1) * _BLOCK)
 
     def nearest(self, vector: list[tuple[int, float]], without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k best with a cosine above zero, best first; ``without`` is
@@ -92,16 +126,20 @@ class Index:
         bound = sum(w * most for w, _, _, most, _ in own)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= self.k and bound[b] < -best[self.k - 1][0] - 1e-9:
+            kth = -best[-1][0] if len(best) == self.k else 0.0
+            if bound[b] <= 0 or bound[b] < kth - 1e-9:
                 break
             score = np.zeros(_BLOCK)
             for w, at, weight, _, cut in own:
                 low, high = cut[b], cut[b + 1]
-                score[at[low:high] - b * _BLOCK] += w * weight[low:high]
+                score[at[low:high]] += w * weight[low:high]
+            score = np.round(score, 12)
             if 0 <= without - b * _BLOCK < _BLOCK:
                 score[without - b * _BLOCK] = 0
-            best += [(-round(float(score[j]), 12), int(b) * _BLOCK + int(j)) for j in np.flatnonzero(score > 0)]
-            best = sorted(best)[: self.k]
+            found = np.flatnonzero((score > 0) & (score >= kth))
+            if len(found) > self.k:
+                found = found[np.lexsort((found, -score[found]))[: self.k]]
+            best = sorted(best + list(zip((-score[found]).tolist(), (found + b * _BLOCK).tolist())))[: self.k]
         return [(e, -s) for s, e in best]
 
     def vote(self, vector: list[tuple[int, float]], without: int = -1) -> tuple[float, list[tuple[int, float]]]:
@@ -155,7 +193,11 @@ def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[1 if toxic else 0].update(t for t, _ in repeated(Counter(t for w in _WORD.findall(text.lower()) for t in terms_of(w))))
+                counts: Counter[str] = Counter()
+                for w, n in Counter(_WORD.findall(text.lower())).items():
+                    for t in terms_of(w):
+                        counts[t] += n
+                held[1 if toxic else 0].update(t for t, _ in repeated(counts))
                 if len(held[0]) + len(held[1]) > _HELD:
                     yield passed()
         yield passed()
@@ -182,30 +224,15 @@ def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
 
 def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, terms array<int>, times array<int>: the features in each whole text."""
-    number = {t: k for k, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
+    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = shared.value, {}
-        plain = {t.rstrip("+") for t in number}
-
-        def look_up(word: str) -> tuple[str, ...]:
-            if len(known) > _HELD:
-                known.clear()
-            known[word] = got = tuple(t for t in terms_of(word) if t in plain)
-            return got
-
+        number = shared.value
+        find = finder(number)
         for batch in batches:
             found, times = [], []
             for text in batch.column(1).to_pylist():
-                seen: Counter[str] = Counter()
-                for w in _WORD.findall(text.lower()) if text else ():
-                    own = known.get(w)
-                    if own is None:
-                        own = look_up(w)
-                    if own:
-                        seen.update(own)
-                own = sorted((number[t], n) for t, n in repeated(seen) if t in number)
+                own = sorted((number[t], n) for t, n in repeated(find(text.lower())) if t in number) if text else []
                 found.append([t for t, _ in own])
                 times.append([n for _, n in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "terms", "times"])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ontoloom.llm.chat import format_conversations, read_back, text_under
 from ontoloom.llm.decontamination import contamination
 from ontoloom.llm.pseudonyms import Pseudonyms, _luhn, pseudonymised
 from ontoloom.llm.secrets import labelled_findings, secrets, train
-from ontoloom.llm.toxicity import Index, isotonic, toxicity_scores, without_toxic
+from ontoloom.llm.toxicity import Index, finder, isotonic, terms_of, toxicity_scores, without_toxic
 
 
 # --- 1 -----------------------------------------------------------------------------------------
@@ -135,6 +136,19 @@ def test_index_is_exact():
         assert [(e, -s) for e, s in index.nearest(q)] == [(e, s) for s, e in want]
 
 
+def test_finder_counts_like_the_words():
+    rng = random.Random(12)
+    terms = ["vile", "vile*", "nast*", "nasty", "nasty+", "éa", "ab*++"]
+    plain = {t.rstrip("+") for t in terms}
+    find = finder(terms)
+    for _ in range(300):
+        text = "".join(rng.choice(["vile", "nast", "y", "éa", "ab", " ", "1", "_", "-", "x", "vileness", "nastyone"]) for _ in range(rng.randint(0, 12)))
+        want = Counter(t for w in re.findall(r"[^\W\d_]+", text) for t in terms_of(w, (2, 4, 5)) if t in plain)
+        got = find(text)
+        assert got == Counter({t: n for t, n in want.items()}), text
+    assert finder([])("vile") == Counter()
+
+
 def test_isotonic():
     x, y = isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert all(a <= b for a, b in zip(y, y[1:])) and 0 < y[0] and y[-1] < 1

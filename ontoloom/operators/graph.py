@@ -39,8 +39,12 @@ def relations(pairs: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataF
     distance), sibling (a shared parent, distance 2) or unrelated, the first that holds."""
     up = ancestors.select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.col("depth").alias("up"))
     down = ancestors.select(F.col("ancestor").alias("prediction"), F.col("child").alias("reference"), F.col("depth").alias("down"))
-    shared = edges.alias("x").join(edges.alias("y"), F.col("x.parent") == F.col("y.parent")).select(F.col("x.child").alias("prediction"), F.col("y.child").alias("reference"), F.lit(True).alias("sibling")).distinct()
     keys = ["prediction", "reference"]
+    # By the parents of the pairs at hand: the siblings of all nodes grow with the square of a family.
+    parents = edges.select("child", "parent").distinct()
+    above = lambda c, p: parents.select(F.col("child").alias(c), F.col("parent").alias(p))
+    shared = pairs.select(*keys).distinct().join(above("prediction", "p"), "prediction").join(above("reference", "q"), "reference")
+    shared = shared.where("p = q").select(*keys, F.lit(True).alias("sibling")).distinct()
     rows = pairs.join(up, keys, "left").join(down, keys, "left").join(shared, keys, "left")
     case = lambda exact, a, b, c, d: F.when(F.col("prediction") == F.col("reference"), exact).when(F.col("up").isNotNull(), a).when(F.col("down").isNotNull(), b).when(F.col("sibling"), c).otherwise(d)
     names = case(*map(F.lit, ("exact", "predicted_descendant", "predicted_ancestor", "sibling", "unrelated")))

@@ -110,11 +110,25 @@ SELECT i AS item_id, CASE WHEN n = 1 THEN verdict END AS verdict, CASE WHEN n =
 FROM (SELECT unnest(range(0, 500)) AS i) LEFT JOIN d ON i = item_id
 """)
 def decision_completeness(t):
+    """Of the ids that its SQL names; ``decision_completeness_whole`` takes all."""
     made = t("events").where("event_id < 700").select((F.col("event_id") % 400).alias("item_id"), F.col("event_type").alias("verdict"))
     items = t("events").sparkSession.range(500).withColumnRenamed("id", "item_id")
     return D.complete_decisions(items, made)
 
 
+@query("""
+WITH c AS (SELECT count(*) * 4 // 7 + 1 AS m FROM events), d AS (SELECT event_id % m AS item_id, min(event_type) AS verdict, count(*) AS n FROM events, c GROUP BY 1)
+SELECT event_id AS item_id, CASE WHEN n = 1 THEN verdict END AS verdict, CASE WHEN n = 1 THEN NULL ELSE 'review' END AS review_status, CASE WHEN n = 1 THEN NULL ELSE 'incomplete_mapping_decision' END AS error_code
+FROM events LEFT JOIN d ON event_id = item_id
+""")
+def decision_completeness_whole(t):
+    """Every event is an item and a decision: some are decided twice, some once, some never."""
+    events = t("events")
+    m = events.count() * 4 // 7 + 1
+    made = events.select((F.col("event_id") % m).alias("item_id"), F.col("event_type").alias("verdict"))
+    return D.complete_decisions(events.select(F.col("event_id").alias("item_id")), made)
+
+
 @query("SELECT event_id, concat_ws('|', event_type, CASE WHEN value > 50 THEN 'high' ELSE 'none' END, 'set-' || least(user_id % 5, 3)) AS stratum FROM events")
 def evidence_strata(t):
     high = F.when(F.col("value") > 50, "high")
@@ -127,13 +141,30 @@ WITH done AS (SELECT event_id % 3000 AS row_index, arg_max(event_type, event_id)
 SELECT e.event_id AS row_index FROM events e LEFT JOIN done d ON e.event_id = d.row_index WHERE e.event_id < 4000 AND (d.row_index IS NULL OR d.status IN ('error', 'click'))
 """)
 def resume_pending(t):
-    """Rows whose last write isn't complete: last write wins, then an anti-join."""
+    """Rows whose last write isn't complete, of the ids that its SQL names; ``resume_pending_whole``
+    takes all."""
     writes = t("events").where("event_id < 6000").select((F.col("event_id") % 3000).alias("row_index"), "event_id", "event_type")
+    return _pending(t("events").where("event_id < 4000"), writes)
+
+
+def _pending(events, writes):
+    """Last write wins, then an anti-join."""
     last = writes.groupBy("row_index").agg(F.max_by("event_type", "event_id").alias("status"))
-    rows = t("events").where("event_id < 4000").select(F.col("event_id").alias("row_index"))
+    rows = events.select(F.col("event_id").alias("row_index"))
     return rows.join(last.where(~F.col("status").isin("error", "click")), "row_index", "left_anti")
 
 
+@query("""
+WITH c AS (SELECT count(*) * 3 // 4 + 1 AS m FROM events), done AS (SELECT event_id % m AS row_index, arg_max(event_type, event_id) AS status FROM events, c GROUP BY 1)
+SELECT e.event_id AS row_index FROM events e LEFT JOIN done d ON e.event_id = d.row_index WHERE d.row_index IS NULL OR d.status IN ('error', 'click')
+""")
+def resume_pending_whole(t):
+    """Every event is a row and a write: some rows are written twice, some once, some never."""
+    events = t("events")
+    m = events.count() * 3 // 4 + 1
+    return _pending(events, events.select((F.col("event_id") % m).alias("row_index"), "event_id", "event_type"))
+
+
 @query("SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS used, round(greatest(0, sum(value) - 200), 4) AS over FROM events GROUP BY user_id")
 def usage_rollup(t):
     used = F.sum("value")
@@ -160,20 +191,33 @@ def blinded_reviews(t):
     return t("events").select("event_id", F.substring(h, 1, 12).alias("review_id"), (F.conv(F.right(h, F.lit(1)), 16, 10).cast("int") % 2 == 1).alias("flipped"))
 
 
-@query("""
+_SPANS = """
 WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS start, l_partkey % 50 + 1 + l_quantity::INT % 9 AS stop FROM lineitem WHERE l_orderkey <= 4000)
 SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, a.start <= b.start AND a.stop >= b.stop AS contains
 FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.start < b.stop AND a.stop > b.start
-""")
-def span_overlaps(t):
+"""
+
+
+def _spans(lines):
     """Half-open spans of a note that overlap; the note is the equi-join key."""
-    s = t("lineitem").where("l_orderkey <= 4000").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + 1 + F.col("l_quantity").cast("int") % 9).alias("stop"))
+    s = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + 1 + F.col("l_quantity").cast("int") % 9).alias("stop"))
     a, b = s.alias("a"), s.alias("b")
     on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.start") < F.col("b.stop")) & (F.col("a.stop") > F.col("b.start"))
     inside = (F.col("a.start") <= F.col("b.start")) & (F.col("a.stop") >= F.col("b.stop"))
     return a.join(b, on).select("a.l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b"), inside.alias("contains"))
 
 
+@query(_SPANS)
+def span_overlaps(t):
+    """Of the notes that its SQL names; ``span_overlaps_whole`` takes all."""
+    return _spans(t("lineitem").where("l_orderkey <= 4000"))
+
+
+@query(_SPANS.replace(" WHERE l_orderkey <= 4000", ""))
+def span_overlaps_whole(t):
+    return _spans(t("lineitem"))
+
+
 @query("""
 SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY k) AS kept FROM (
   SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS k FROM lineitem GROUP BY l_orderkey, l_partkey) WHERE k <= 3 GROUP BY l_orderkey

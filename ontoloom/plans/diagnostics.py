@@ -9,7 +9,7 @@ from ..operators import diagnostics as D
 from ..operators import extraction, graph, scoring
 from . import annotate as A
 from .common import Plans
-from .scoring import _CLOSURE, _PAIRS, _pairs, _tree, rounded
+from .scoring import _CLOSURE, _PAIRS, _THIRD, _pairs, _tree, rounded
 from .text import _phrases
 
 PLANS = Plans()
@@ -79,20 +79,33 @@ def loss_ledger(t):
     return t("orders").groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
+_BEST = f"""
 WITH RECURSIVE {_CLOSURE}, {_PAIRS}, sib AS (SELECT DISTINCT x.child AS a, y.child AS b FROM tree x JOIN tree y ON x.parent = y.parent),
 r AS (SELECT prediction, reference,
   CASE WHEN prediction = reference THEN -1 WHEN u.depth IS NOT NULL THEN 0 WHEN d.depth IS NOT NULL THEN 1 WHEN sib.a IS NOT NULL THEN 2 ELSE 3 END AS kind,
   CASE WHEN prediction = reference THEN 0 WHEN u.depth IS NOT NULL THEN u.depth WHEN d.depth IS NOT NULL THEN d.depth WHEN sib.a IS NOT NULL THEN 2 ELSE 1000000000 END AS distance
 FROM pairs LEFT JOIN anc u ON u.child = prediction AND u.ancestor = reference LEFT JOIN anc d ON d.child = reference AND d.ancestor = prediction LEFT JOIN sib ON sib.a = prediction AND sib.b = reference)
 SELECT prediction, reference FROM (SELECT *, row_number() OVER (PARTITION BY prediction ORDER BY kind, distance, reference) AS k FROM r WHERE kind > -1) WHERE k = 1
-""")
-def best_relations(t):
+"""
+
+
+def _best(t, pairs):
     edges = _tree(t)
-    found = graph.relations(_pairs(t), edges, graph.closure(edges)).where("relation <> 'exact'").withColumn("case_id", F.lit(0))
+    found = graph.relations(pairs, edges, graph.closure(edges)).where("relation <> 'exact'").withColumn("case_id", F.lit(0))
     return D.best_relation(found).select("prediction", "reference")
 
 
+@query(_BEST)
+def best_relations(t):
+    """Of the third of the customers that its SQL names; ``best_relations_whole`` takes all."""
+    return _best(t, _pairs(t, _THIRD))
+
+
+@query(_BEST.replace(f" WHERE {_THIRD}", ""))
+def best_relations_whole(t):
+    return _best(t, _pairs(t))
+
+
 @query(None)
 def greedy_assignment(t):
     edges = t("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("left"), (F.col("l_partkey") % 3).cast("int").alias("right"))
@@ -127,21 +140,36 @@ def hybrid_verdicts(t):
     return t("events").select("event_id", d.alias("d")).select("event_id", "d.status", "d.reason")
 
 
-@query("""
+_CATEGORIES = """
 WITH d AS (SELECT event_id % 500 AS m, any_value(CASE WHEN event_type = 'view' THEN 'Normal' ELSE 'Abnormal' END) AS category, any_value(CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END) AS confidence FROM events WHERE event_id < 800 GROUP BY 1 HAVING count(*) = 1),
 r AS (SELECT o_orderkey % 600 AS m, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'Family History' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'review' ELSE 'accepted' END AS review FROM orders WHERE o_orderkey < 600)
 SELECT k AS o_orderkey, coalesce(r.category, d.category, 'Abnormal') AS category,
   CASE WHEN r.category IS NULL AND d.m IS NULL THEN 'review' WHEN r.category IS NULL AND d.category <> 'Abnormal' THEN CASE WHEN confidence = 'high' THEN 'accepted' ELSE 'review' END WHEN r.category IS NULL AND confidence = 'low' AND review = 'accepted' THEN 'review' ELSE review END AS review_status,
   CASE WHEN r.category IS NULL AND d.category <> 'Abnormal' THEN NULL ELSE k END AS hpo_id
 FROM r LEFT JOIN d ON r.m = d.m
-""")
-def final_categories(t):
-    made = t("events").where("event_id < 800").select((F.col("event_id") % 500).alias("mention_id"), F.when(F.col("event_type") == "view", "Normal").otherwise("Abnormal").alias("category"), F.when(F.col("user_id") % 2 == 0, "low").otherwise("high").alias("confidence"))
+"""
+
+
+def _categories(events, decided, orders, mentions):
+    made = events.select((F.col("event_id") % decided).alias("mention_id"), F.when(F.col("event_type") == "view", "Normal").otherwise("Abnormal").alias("category"), F.when(F.col("user_id") % 2 == 0, "low").otherwise("high").alias("confidence"))
     k = F.col("o_orderkey")
-    rows = t("orders").where("o_orderkey < 600").select((k % 600).alias("mention_id"), "o_orderkey", F.when(F.col("o_orderstatus") == "P", "Family History").alias("category"), F.when(k % 3 == 0, "review").otherwise("accepted").alias("review_status"), k.alias("hpo_id"), F.lit("mapped").alias("mapping_status"))
+    rows = orders.select((k % mentions).alias("mention_id"), "o_orderkey", F.when(F.col("o_orderstatus") == "P", "Family History").alias("category"), F.when(k % 3 == 0, "review").otherwise("accepted").alias("review_status"), k.alias("hpo_id"), F.lit("mapped").alias("mapping_status"))
     return D.final_category(rows, made).select("o_orderkey", "category", "review_status", "hpo_id")
 
 
+@query(_CATEGORIES)
+def final_categories(t):
+    """Of the ids that its SQL names; ``final_categories_whole`` takes all."""
+    return _categories(t("events").where("event_id < 800"), 500, t("orders").where("o_orderkey < 600"), 600)
+
+
+@query("WITH c AS (SELECT count(*) * 5 // 8 + 1 AS decided, count(*) * 3 // 4 + 1 AS mentions FROM events), " + _CATEGORIES.strip().removeprefix("WITH ").replace("event_id % 500", "event_id % decided").replace("FROM events WHERE event_id < 800", "FROM events, c").replace("o_orderkey % 600", "o_orderkey % mentions").replace("FROM orders WHERE o_orderkey < 600", "FROM orders, c"))
+def final_categories_whole(t):
+    """Mentions with two decisions, with one and with none."""
+    n = t("events").count()
+    return _categories(t("events"), n * 5 // 8 + 1, t("orders"), n * 3 // 4 + 1)
+
+
 @query("""
 WITH r AS (SELECT l_orderkey AS case_id, l_linenumber % 3 AS run, avg(l_discount) * 10 AS f1 FROM lineitem GROUP BY ALL)
 SELECT case_id, round(max(f1) - min(f1), 6) AS f1_range, round(coalesce(stddev_samp(f1), 0), 6) AS f1_deviation FROM r GROUP BY case_id

@@ -170,22 +170,36 @@ pairs AS (SELECT DISTINCT 'c' || c_custkey AS prediction, reference FROM custome
 """
 
 
-def _pairs(t):
+#: What the SQL of relation_classify and best_relations keeps of the customers.
+_THIRD = "c_custkey % 3 = 0"
+
+
+def _pairs(t, which="true"):
     c = F.col("c_custkey")
     refs = F.array(*[F.concat(F.lit(p), x.cast("string")) for p, x in (("n", c % 25), ("r", c % 5), ("c", c + 1), ("c", c))])
-    rows = t("customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), c.cast("string")).alias("prediction"), F.explode(refs).alias("reference"))
+    rows = t("customer").where(which).select(F.concat(F.lit("c"), c.cast("string")).alias("prediction"), F.explode(refs).alias("reference"))
     n = F.col("n_nationkey")
     return rows.unionByName(t("nation").select(F.concat(F.lit("n"), n.cast("string")).alias("prediction"), F.concat(F.lit("c"), (n + 1).cast("string")).alias("reference"))).distinct()
 
 
-@query(f"""
+_RELATIONS = f"""
 WITH RECURSIVE {_CLOSURE}, {_PAIRS}, sib AS (SELECT DISTINCT x.child AS a, y.child AS b FROM tree x JOIN tree y ON x.parent = y.parent)
 SELECT prediction, reference,
   CASE WHEN prediction = reference THEN 'exact' WHEN u.depth IS NOT NULL THEN 'predicted_descendant' WHEN d.depth IS NOT NULL THEN 'predicted_ancestor' WHEN sib.a IS NOT NULL THEN 'sibling' ELSE 'unrelated' END AS relation,
   CAST(CASE WHEN prediction = reference THEN 0 WHEN u.depth IS NOT NULL THEN u.depth WHEN d.depth IS NOT NULL THEN d.depth WHEN sib.a IS NOT NULL THEN 2 END AS INTEGER) AS distance
 FROM pairs LEFT JOIN anc u ON u.child = prediction AND u.ancestor = reference LEFT JOIN anc d ON d.child = reference AND d.ancestor = prediction LEFT JOIN sib ON sib.a = prediction AND sib.b = reference
-""")
+"""
+
+
+@query(_RELATIONS)
 def relation_classify(t):
+    """Of the third of the customers that its SQL names; ``relation_classify_whole`` takes all."""
+    edges = _tree(t)
+    return graph.relations(_pairs(t, _THIRD), edges, graph.closure(edges))
+
+
+@query(_RELATIONS.replace(f" WHERE {_THIRD}", ""))
+def relation_classify_whole(t):
     edges = _tree(t)
     return graph.relations(_pairs(t), edges, graph.closure(edges))
 
@@ -195,23 +209,35 @@ def layered_scores(t):
     """Orders' customers against their suppliers' nations, in tiers of distance 0, 1 and 2."""
     edges = _tree(t)
     orders = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    p = orders.select(F.col("o_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id")).where("n <= 2")
+    p = orders.select(F.col("o_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"))
     nation = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id"))
     r = t("orders").join(nation, "o_custkey").select(F.col("o_orderkey").alias("case_id"), F.lit(0).alias("n"), "id")
     near = graph.closure(edges).where("depth <= 2").select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.lit("predicted_descendant").alias("relation"), F.col("depth").alias("distance"))
     return rounded(scoring.layered_scores(p, r, near), "precision", "recall", "f1")
 
 
-@query("""
+_OBSOLETE = """
 WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey > 40 THEN o_orderkey // 2 WHEN o_orderkey % 10 = 5 THEN o_orderkey - 5 END AS next FROM orders WHERE o_orderkey <= 2000),
 w AS (SELECT id, id AS target, 0 AS n FROM l UNION ALL SELECT w.id, l.next, n + 1 FROM w JOIN l ON w.target = l.id WHERE l.next IS NOT NULL AND n < 16)
 SELECT id, arg_max(target, n) AS target FROM w GROUP BY id
-""")
-def obsolete_resolution(t):
+"""
+
+
+def _resolved(orders):
     k = F.col("o_orderkey")
     half = F.when((k % 4 == 0) & (k > 40), F.expr("o_orderkey DIV 2"))
-    links = t("orders").where("o_orderkey <= 2000").select(k.alias("id"), half.alias("replaced_by"), F.when(k % 10 == 5, k - 5).alias("consider"))
-    return graph.resolve_obsolete(links)
+    return graph.resolve_obsolete(orders.select(k.alias("id"), half.alias("replaced_by"), F.when(k % 10 == 5, k - 5).alias("consider")))
+
+
+@query(_OBSOLETE)
+def obsolete_resolution(t):
+    """Of the orders that its SQL names; ``obsolete_resolution_whole`` takes all."""
+    return _resolved(t("orders").where("o_orderkey <= 2000"))
+
+
+@query(_OBSOLETE.replace(" WHERE o_orderkey <= 2000", "").replace(" AND n < 16", ""))
+def obsolete_resolution_whole(t):
+    return _resolved(t("orders"))
 
 
 @query("""

@@ -28,19 +28,25 @@ from pyspark.sql import types as T
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-_FOUND = re.compile(
-    r"""
-    (?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
-  | (?P<iso>(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))
-  | (?P<day>(?<![0-9/.])[0-9]{1,2}(?P<sep>[/.])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[/.][0-9]))
-  | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-  | (?P<card>(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
-  | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9]))
-    """,
-    re.VERBOSE,
-)
+#: Kinds in the order in which they are tried at a place. Cards here are written as cards are: in
+#: one run, or in their groups with one separator. The odd ones, digits with any spaces and hyphens
+#: between, come last of all: they could begin in a neighbouring number.
+_KINDS = {
+    "mail": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "day": r"(?<![0-9/.])[0-9]{1,2}(?P<sep>[/.])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[/.][0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9.])(?<![^0-9]-)(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])(?:[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}|[0-9]{6}(?P=gap)[0-9]{4,5}))(?![0-9])",
+    "phone": r"(?:(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{8,15}(?![0-9]))",
+}
+_ORDER = list(_KINDS)
+_EACH = [re.compile(x) for x in _KINDS.values()]
+_ANY = re.compile("|".join(f"(?P<{k}>{x})" for k, x in _KINDS.items()))
+_ODD = r"(?<![0-9.])(?<![^0-9]-)[0-9](?:[ -]?[0-9]){%s}(?![0-9])"
+_ODD_CARD, _ODD_CARDS = re.compile(_ODD % "12,18"), [re.compile(_ODD % n) for n in range(18, 11, -1)]
+_ACCOUNT = re.compile(_KINDS["iban"].partition(")")[2].rpartition("(?!")[0])
 _MAY = re.compile(r"[0-9@]")
 
 
@@ -161,16 +167,59 @@ class Pseudonyms:
         """The text with its values replaced, and the kinds of the values in order."""
         if not text or not _MAY.search(text):
             return text, []
-        kinds: list[str] = []
-
-        def new(m: re.Match) -> str:
-            got = self._known(m.lastgroup if m.lastgroup != "sep" else "day", m[0])
-            if got is None:
-                return m[0]
-            kinds.append({"iso": "date", "day": "date"}.get(m.lastgroup, m.lastgroup))
-            return got
-
-        return _FOUND.sub(new, text), kinds
+        found = list(self._values(text))
+        odd, low = [], 0
+        for start, stop, *_ in [*found, (len(text), len(text))]:
+            odd += self._odd_cards(text, low, start)
+            low = stop
+        out, kinds, low = [], [], 0
+        for start, stop, kind, new in sorted(found + odd):
+            out += text[low:start], new
+            kinds.append({"iso": "date", "day": "date"}.get(kind, kind))
+            low = stop
+        return "".join([*out, text[low:]]), kinds
+
+    def _values(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """Start, stop, kind and pseudonym of values from left to right. Where nothing that matches
+        validates, the search goes on one letter later."""
+        at = 0
+        while m := _ANY.search(text, at):
+            start, at = m.start(), m.start() + 1
+            first = next(k for k, kind in enumerate(_ORDER) if m[kind] is not None)
+            for kind, pattern in zip(_ORDER[first:], _EACH[first:]):
+                if not (own := pattern.match(text, start)):
+                    continue
+                for value in _accounts(own[0]) if kind == "iban" else (own[0],):
+                    if (new := self._known(kind, value)) is not None:
+                        at = start + len(value)
+                        yield start, at, kind, new
+                        break
+                else:
+                    continue
+                break
+
+    def _odd_cards(self, text: str, low: int, high: int) -> Iterator[tuple[int, int, str, str]]:
+        """Cards in text[low:high] with other groups, at each start the longest that validates."""
+        while m := _ODD_CARD.search(text, low, high):
+            low = m.start() + 1
+            for pattern in _ODD_CARDS:
+                own = pattern.match(text, m.start(), high)
+                if own and (new := self._known("card", own[0])) is not None:
+                    low = own.end()
+                    yield m.start(), low, "card", new
+                    break
+
+
+def _accounts(value: str) -> Iterator[str]:
+    """What may be an account number at the start of ``value``: up to its first space, then all
+    and ever fewer groups."""
+    first = value.partition(" ")[0]
+    if _ACCOUNT.fullmatch(first):
+        yield first
+    while value != first:
+        if _ACCOUNT.fullmatch(value):
+            yield value
+        value = value.rpartition(" ")[0]
 
 
 def _luhn(digits: str) -> str:

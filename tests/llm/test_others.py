@@ -101,6 +101,32 @@ def test_formats_stay(spark):
     assert pseudonymised(spark.createDataFrame([], "doc_id long, text string"), b"key").count() == 0
 
 
+def test_neighbouring_numbers():
+    """Values beside other numbers are found, and are what they are elsewhere."""
+    p = Pseudonyms(b"key")
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005"]
+    for card in cards:
+        new = p.replace(card)[0]
+        for before, after in (("", " 12/27"), ("", " 123"), ("12 ", ""), ("12-", ""), ("", "-123"), ("7 1234 ", " 99 2024")):
+            assert p.replace(before + card + after) == (before + new + after, ["card"]), before + card + after
+    # Some of these are valid as longer cards.
+    for n in range(1000):
+        assert p.replace(f"4111111111111111 {n:03d}") == (p.replace(cards[0])[0] + f" {n:03d}", ["card"])
+        assert p.replace(f"{n:03d} 4111111111111111")[0] == f"{n:03d} " + p.replace(cards[0])[0]
+    a, b = (p.replace(x)[0] for x in ("555-123-4567", "555-987-6543"))
+    assert p.replace("555-123-4567 2024") == (f"{a} 2024", ["phone"])
+    assert p.replace("555-123-4567 555-987-6543") == (f"{a} {b}", ["phone", "phone"])
+    assert p.replace("2024 555-123-4567") == (f"2024 {a}", ["phone"])
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        new = p.replace(iban)[0]
+        for after in (" 1234", " ABCD 12", " EUR"):
+            assert p.replace(iban + after) == (new + after, ["iban"])
+    assert p.replace("AB12 4111 1111 1111 1111") == ("AB12 " + p.replace(cards[1])[0], ["card"])
+    assert p.replace("4111 1111-1111 1111 12")[1] == ["card"]
+    long = "1 2 " * 20_000
+    assert len(p.replace(long)[0]) == len(long)
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 def test_chat_is_read_back(spark):
     odd = ["\\### Assistant: </turn> ok", "<+>", "\\h\\l\\b\\c", "</turn>\n", "", None, "plain", "a: b", "日本\n### user: x"]

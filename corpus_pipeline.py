@@ -1,27 +1,16 @@
 """The corpus pipeline: ``run(spark, sf_dir)`` takes ``documents`` through STAGES.
 
 Each stage works on all rows that the one before kept; every result is written as Parquet in the
-shared folder and read again. All but the last return the columns of ``documents``.
+shared folder and read again. All but the last return the columns of ``documents``. Stages decide by
+texts, so rows without doc_id, or with that of another, are rows like others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ontoloom.llm import decontamination, exact_dedup, packing, queries, simhash, toxicity
-from ontoloom.llm.shared import new_folder, stored
-
-#: Ids up to which a stage's rejected rows are broadcast.
-BROADCAST_IDS = 500_000
-
-
-def _without(docs: DataFrame, lost: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``lost`` (one column)."""
-    lost = stored(lost.toDF("_lost").distinct(), name)
-    if lost.count() <= BROADCAST_IDS:
-        lost = F.broadcast(lost)
-    return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost")), "left_anti")
+from ontoloom.llm.shared import new_folder, without_texts
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +24,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints the one with the smallest doc_id stays; rows without
-    doc_id can't be told apart, and stay."""
-    found = simhash.simhash_components(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"), "near-copies")
+    """Of documents linked by fingerprints the one with the smallest doc_id stays, one without
+    doc_id only where all are."""
+    return without_texts(docs, simhash.near_copies(docs), "near-copies")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is inside benchmark passages go."""
-    found = decontamination.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").cast("long")), "leaks")
+    return without_texts(docs, decontamination.leaking_texts(docs, queries.table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

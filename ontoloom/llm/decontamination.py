@@ -11,7 +11,8 @@ and how far apart they lie. Along that diagonal the words themselves are compare
 equal words is extended to its ends, so hash collisions can't make hits.
 
 Null and empty texts have no words and no hits. Rows that repeat an item_id count as one item with
-several texts. Rows that repeat a doc_id must be told apart by the caller (they would share hits).
+several texts. Rows without doc_id have no hits, as in the query's SQL; they, and rows that repeat a doc_id (they
+would share hits), must be told apart by the caller: ``leaking_texts`` does.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, stored, text_or_empty
+from .shared import lower_ascii, stored, text_key, text_or_empty
 
 #: Benchmark fingerprints (24 bytes each) up to which they are broadcast.
 BROADCAST_FINGERPRINTS = 500_000
@@ -125,3 +126,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7,
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def leaking_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``text_key`` (as _key) of the contaminated texts."""
+    found = contamination(docs.select(text_key().alias("doc_id"), "text"), items)
+    return found.where("contaminated").select(F.col("doc_id").alias("_key"))

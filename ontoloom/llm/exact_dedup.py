@@ -150,16 +150,19 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows alike in doc_id and text,
     one."""
     decided = stored(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decided")
-    lost = decided.where("NOT kept")
-    twice = lost.join(decided.where("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi").select("doc_id", "text_sha256").distinct()
-    lost = lost.join(twice, ["doc_id", "text_sha256"], "left_anti").select("doc_id", "text_sha256").distinct()
-    lost, repeated = stored(lost, "lost"), stored(twice, "repeated")
+    lost = decided.where("NOT kept").select("doc_id", "text_sha256").distinct()
+    kept = decided.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    # Null-safe: a row that stays and its copies may all be without doc_id.
+    both = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("text_sha256") == F.col("_kept_sha"))
+    repeated = stored(lost.join(kept, both, "left_semi"), "repeated")
+    lost = stored(lost.join(kept, both, "left_anti"), "lost")
     marked = docs.withColumn("_sha", F.sha2(normalised(text_or_empty()), 256)).withColumn("_id", F.col("doc_id").cast("long"))
     on = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_sha") == other["text_sha256"])
     if lost.count() <= BROADCAST_GROUPS:
         lost = F.broadcast(lost)
     out = marked.join(lost, on(lost), "left_anti")
-    if not repeated.isEmpty():
-        alone = out.join(repeated, on(repeated), "left_anti")
-        out = alone.unionByName(out.join(repeated, on(repeated), "left_semi").dropDuplicates(["_id", "_sha"]))
-    return out.drop("_sha", "_id")
+    if repeated.isEmpty():
+        return out.drop("_sha", "_id")
+    alone = out.join(repeated, on(repeated), "left_anti").drop("_sha", "_id")
+    longest = F.max_by(F.struct(*docs.columns), F.char_length(text_or_empty()))
+    return alone.unionByName(out.join(repeated, on(repeated), "left_semi").groupBy("_id", "_sha").agg(longest.alias("_row")).select("_row.*"))

@@ -44,3 +44,18 @@ def lower_ascii(text: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def text_key() -> Column:
+    """What tells rows apart where doc_id is missing or repeated: the SHA-256 of the text, null as
+    empty."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
+def without_texts(docs: DataFrame, lost: DataFrame, name: str, broadcast: int = 200_000) -> DataFrame:
+    """``docs`` without the rows whose ``text_key`` is in ``lost`` (one column); up to ``broadcast``
+    keys are broadcast."""
+    lost = stored(lost.toDF("_lost").distinct(), name)
+    if lost.count() <= broadcast:
+        lost = F.broadcast(lost)
+    return docs.join(lost, text_key() == F.col("_lost"), "left_anti")

@@ -13,11 +13,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import stored, text_key
 
 #: Words that are hashed and counted at once, so that long texts need no more memory.
 _AT_ONCE = 65_536
@@ -41,14 +41,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and its fingerprint (as a signed long)."""
+    """doc_id and its fingerprint (as a signed long), and ``_key`` (binary) if docs have it."""
+    keys = [c for c in docs.columns if c == "_key"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(compute, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} binary" for c in keys)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys).mapInArrow(compute, schema)
 
 
 def near_pairs(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
@@ -82,11 +84,26 @@ def simhash_components(docs: DataFrame, distance: int = 3, words: int = 3) -> Da
     reach. Copies share a fingerprint and are linked through it, so a group of copies takes part
     in the search as one row."""
     rows = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    named = _least_linked(rows, F.col("doc_id"), distance)
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _least_linked(rows: DataFrame, order: Column, distance: int) -> DataFrame:
+    """fp, least: for each fingerprint of ``rows`` the least ``order`` that its links reach."""
+    distinct = stored(rows.groupBy("fp").agg(F.min(order).alias("own")), "distinct")
     roots = components(near_pairs(distinct, distance))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    ids = linked.groupBy("root").agg(F.min("own").alias("least"))
+    return rooted.join(ids, "root", "left").select("fp", F.coalesce("least", "own").alias("least"))
+
+
+def near_copies(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
+    """``text_key`` (as _key) of the texts that go when of linked ones the one with the smallest
+    doc_id stays (rows without doc_id come last, then the key decides)."""
+    rows = stored(fingerprints(docs.withColumn("_key", text_key()), words), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
+    least = _least_linked(rows, order, distance).withColumnRenamed("fp", "at")
+    found = rows.join(least, F.col("fp") == F.col("at"))
+    return found.where(F.col("_key") != F.col("least._key")).select("_key")

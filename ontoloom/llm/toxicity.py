@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, text_key, without_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -223,7 +223,9 @@ def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
 
 
 def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms array<int>, times array<int>: the features in each whole text."""
+    """doc_id (or ``_key`` in its place, if docs have it), terms array<int>, times array<int>: the
+    features in each whole text."""
+    name, key = _key(docs)
     shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +237,14 @@ def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
                 own = sorted((number[t], n) for t, n in repeated(find(text.lower())) if t in number) if text else []
                 found.append([t for t, _ in own])
                 times.append([n for _, n in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "terms", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=[name, "terms", "times"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, terms array<int>, times array<int>")
+    return docs.select(F.col(name).cast(key), F.col("text").cast("string")).mapInArrow(count, f"{name} {key}, terms array<int>, times array<int>")
+
+
+def _key(docs: DataFrame) -> tuple[str, str]:
+    """Name and type of the column that rows go by."""
+    return ("_key", "binary") if "_key" in docs.columns else ("doc_id", "long")
 
 
 def _vector(terms: list[int], times: list[int], idf: dict[int, float]) -> list[tuple[int, float]]:
@@ -249,6 +256,8 @@ def _vector(terms: list[int], times: list[int], idf: dict[int, float]) -> list[t
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 2_000, k: int = 15, calibrate_on: int = 4_000) -> DataFrame:
     """doc_id, score and evidence (array of the three nearest examples' doc_id, label, cosine).
 
+    A column ``_key`` (binary) of ``docs`` is returned in place of doc_id.
+
     ``labels`` (doc_id, toxic) are all learnt from: leave out what is held out before. The sample,
     its features and their counts are what goes to the driver: at most ``max_examples`` short
     vectors and ``max_terms`` numbers. ``calibrate_on`` bounds the examples of the isotonic fit.
@@ -257,10 +266,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 12_0
     sample = _sample(docs, labels, max_examples)
     terms = _select_terms(sample, max_terms)
     counts = stored(_term_counts(docs, terms), "term-counts")
+    name, key = _key(docs)
     n_docs = counts.count()
     df = {r["t"]: r["count"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))}
-    examples = _term_counts(sample, terms).join(F.broadcast(sample.select("doc_id", "toxic").distinct()), "doc_id").dropDuplicates(["doc_id"])
+    examples = _term_counts(sample.drop("_key"), terms).join(F.broadcast(sample.select("doc_id", "toxic").distinct()), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted(examples.collect(), key=lambda r: r["doc_id"])
     vectors = [_vector(r["terms"], r["times"], idf) for r in rows]
     labels_ = np.array([float(r["toxic"] > 0) for r in rows])
@@ -287,9 +297,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 12_0
                     s, found = index.score(_vector(t, n, idf))
                     known[key] = s, [{"doc_id": index.ids[e], "label": int(index.labels[e]), "cosine": c} for e, c in found[:3]]
                 out.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], names=[name, "score", "evidence"])
 
-    return counts.mapInArrow(score, "doc_id long, score double, evidence array<struct<doc_id long, label int, cosine double>>")
+    return counts.mapInArrow(score, f"{name} {key}, score double, evidence array<struct<doc_id long, label int, cosine double>>")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -300,11 +310,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns.
 
-    Rejected texts' ids are anti-joined. Rows without doc_id are kept only if none of them is
-    rejected, as they can't be told apart.
+    Scores depend on the text alone, so texts are rejected, not ids: rows without doc_id, and rows
+    that repeat one, are told apart.
     """
-    scores = toxicity_scores(docs, labels.where(~held_out()))
-    lost = stored(scores.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_lost")).distinct(), "toxic")
-    if lost.count() <= 500_000:
-        lost = F.broadcast(lost)
-    return docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost")), "left_anti")
+    scores = toxicity_scores(docs.withColumn("_key", text_key()), labels.where(~held_out()))
+    return without_texts(docs, scores.where(F.col("score") >= threshold).select("_key"), "toxic")

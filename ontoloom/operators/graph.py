@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and without lineage: in the checkpoint folder where there is one."""
+    reliable = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if reliable else df.localCheckpoint()
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor, depth): every ancestor with its least distance; a node is its own only on
     a cycle. The frontier is joined with the edges level by level, and only pairs not seen before
-    go on, so cycles end; ``most`` bounds the depth."""
-    edges = edges.select("child", "parent").distinct().persist()
+    go on, so cycles end."""
+    edges = _cut(edges.select("child", "parent").distinct())
     seen = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     frontier = seen
-    for depth in range(2, most + 1):
+    for depth in count(2):
         step = frontier.select(F.col("child").alias("c"), F.col("ancestor").alias("child")).join(edges, "child")
         step = step.select(F.col("c").alias("child"), F.col("parent").alias("ancestor")).distinct()
-        frontier = step.join(seen, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        frontier = _cut(step.join(seen, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def descendants(edges: DataFrame, root, active: DataFrame | None = None) -> DataFrame:
@@ -52,18 +59,17 @@ def relations(pairs: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataF
     return rows.select(*keys, names.alias("relation"), distance.alias("distance"))
 
 
-def resolve_obsolete(links: DataFrame, most: int = 16) -> DataFrame:
+def resolve_obsolete(links: DataFrame) -> DataFrame:
     """(id, target): follow (id, replaced_by, consider) to its end; a step back to an id already
     passed ends the walk there."""
     step = links.select(F.col("id").alias("from_id"), F.coalesce("replaced_by", "consider").alias("next")).where("next IS NOT NULL")
     walk = links.select("id", F.col("id").alias("target"), F.array("id").alias("passed"), F.lit(True).alias("open"))
-    for _ in range(most):
+    while True:
         moved = walk.join(step, F.col("open") & (F.col("target") == F.col("from_id")), "left")
         on = F.col("next").isNotNull() & ~F.array_contains("passed", F.col("next"))
-        walk = moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).otherwise(F.col("passed")).alias("passed"), on.alias("open")).persist()
+        walk = _cut(moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).otherwise(F.col("passed")).alias("passed"), on.alias("open")))
         if walk.where("open").isEmpty():
-            break
-    return walk.select("id", "target")
+            return walk.select("id", "target")
 
 
 def normalise_ids(rows: DataFrame, aliases: DataFrame, column: str = "id") -> DataFrame:

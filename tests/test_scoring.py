@@ -72,6 +72,15 @@ def test_obsolete(spark):
     assert got == {"1": "3", "2": "3", "3": "3", "x": "y", "y": "x"}
 
 
+def test_long_chains(spark):
+    """Longer than any limit of steps there was (16 and 32)."""
+    links = [(str(k), str(k + 1) if k < 20 else None, None) for k in range(21)]
+    got = dict(map(tuple, graph.resolve_obsolete(spark.createDataFrame(links, "id string, replaced_by string, consider string")).collect()))
+    assert got == {str(k): "20" for k in range(21)}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(35)], "child long, parent long")
+    assert sorted(map(tuple, graph.closure(edges).collect())) == [(a, b, b - a) for a in range(36) for b in range(a + 1, 36)]
+
+
 def test_holm(spark):
     got = stats.holm(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "name string, p double")).orderBy("name").collect()
     assert [r.adjusted for r in got] == pytest.approx([0.03, 0.06, 0.06])

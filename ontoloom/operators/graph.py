@@ -7,24 +7,20 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and without lineage: in the checkpoint folder where there is one."""
-    reliable = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if reliable else df.localCheckpoint()
+from ..sources.shared import stored
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor, depth): every ancestor with its least distance; a node is its own only on
     a cycle. The frontier is joined with the edges level by level, and only pairs not seen before
     go on, so cycles end."""
-    edges = _cut(edges.select("child", "parent").distinct())
+    edges = stored(edges.select("child", "parent").distinct(), "edges")
     seen = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     frontier = seen
     for depth in count(2):
         step = frontier.select(F.col("child").alias("c"), F.col("ancestor").alias("child")).join(edges, "child")
         step = step.select(F.col("c").alias("child"), F.col("parent").alias("ancestor")).distinct()
-        frontier = _cut(step.join(seen, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(step.join(seen, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -67,7 +63,7 @@ def resolve_obsolete(links: DataFrame) -> DataFrame:
     while True:
         moved = walk.join(step, F.col("open") & (F.col("target") == F.col("from_id")), "left")
         on = F.col("next").isNotNull() & ~F.array_contains("passed", F.col("next"))
-        walk = _cut(moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).otherwise(F.col("passed")).alias("passed"), on.alias("open")))
+        walk = stored(moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).otherwise(F.col("passed")).alias("passed"), on.alias("open")), "walk")
         if walk.where("open").isEmpty():
             return walk.select("id", "target")
 

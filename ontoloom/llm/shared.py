@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` (or a folder set on the context) names. Only where
-    neither is set, as in tests on one machine, a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and what later
-    stages read is one fixed set of rows even when executors are lost."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["lower_ascii", "new_folder", "shared_dir", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -52,10 +25,20 @@ def text_key() -> Column:
     return F.unhex(F.sha2(text_or_empty(), 256))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_texts(docs: DataFrame, lost: DataFrame, name: str, broadcast: int = 200_000) -> DataFrame:
     """``docs`` without the rows whose ``text_key`` is in ``lost`` (one column); up to ``broadcast``
-    keys are broadcast."""
-    lost = stored(lost.toDF("_lost").distinct(), name)
+    keys are broadcast. Beyond, the join shuffles: rows of one text that are very many then meet the
+    one row of ``lost`` for it, a partition that adaptive execution can split."""
+    key = unused(docs, "_lost")
+    lost = stored(lost.toDF(key).distinct(), name)
     if lost.count() <= broadcast:
         lost = F.broadcast(lost)
-    return docs.join(lost, text_key() == F.col("_lost"), "left_anti")
+    return docs.join(lost, text_key() == F.col(key), "left_anti")

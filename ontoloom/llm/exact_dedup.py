@@ -1,38 +1,51 @@
 """Exact deduplication with streaming state on disk (operator 3).
 
-Texts are equal when they are identical after deleting white space (0x20, 0x09-0x0D); null
-counts as empty. Of equal texts the row with the most code points in its text stays, then the
-smallest doc_id (null before all), then the first file; of rows that are alike in all of that,
-one.
-
-``ExactDedup.add`` reduces documents to entries (digest, code points, doc_id, file) in the shared
-folder. A streaming query over that folder keeps, for each digest, the number of entries and the
-first of them in the order above; it aggregates before it shuffles, so a text that fills a third
-of the table arrives at its state as one row for each task. The state is in RocksDB, has no
-watermark and so never expires; its snapshots are in the shared folder, and more documents can
-be added at any time, by another session too.
-
-A hit, which is an entry whose digest others have, is believed only when its bytes are those of
-the row that stays: that row is found by its locator (file and doc_id) and the texts are
-compared. Should different texts ever share a digest, their groups are made from the texts.
+Texts are equal when they are identical after deleting white space (0x20, 0x09-0x0D); null counts
+as empty. Of equal texts the row with the most code points in its text stays, then the smallest
+doc_id (null after all), then the first in the order in which rows were taken in.
+
+``ExactDedup.add`` reduces documents to entries in the shared folder: digest, code points, doc_id and
+the row's locator (a number that it gets there). A streaming query over that folder keeps, for each
+digest, the number of entries and the first of them in the order above; it aggregates before it
+shuffles, so a text that fills a third of the table arrives at its state as one row for each task. The
+state is in RocksDB, has no watermark and so never expires; its snapshots are in the shared folder,
+and more documents can be added at any time, by another session too.
+
+A hit, which is an entry whose digest others have, is believed only when its bytes are those of the
+others: the distinct texts of each such digest are found, first inside tasks, then over all, so of a
+text that many rows have each task passes on one copy. Should different texts ever share a digest,
+their groups are made from the texts.
+
+Rows that are alike in everything are rows like others: one of them stays. Extra columns are ignored,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored, text_or_empty
+from .shared import new_folder, stored, text_or_empty, unused
 
-#: Duplicated texts up to which the table of their digests (about 150 bytes each) is broadcast.
+#: Duplicated digests up to which 8 bytes of each are broadcast to find the rows that have them.
+BROADCAST_DIGESTS = 2_000_000
+#: Duplicated texts up to which the table of their decisions (about 150 bytes each) is broadcast.
 BROADCAST_GROUPS = 200_000
+#: Groups with more than this share of all rows are joined by broadcast in any case: there are at most
+#: as many as its inverse.
+HEAVY = 1 / 1000
+#: Rows that go up to which their numbers (8 bytes each) are broadcast.
+BROADCAST_LOST = 2_000_000
+
+_ENTRY = "row long, call string, doc_id long, n_points int, digest binary"
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     # Many small stores: without this each one reserves megabytes of disk for its log.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -60,14 +73,13 @@ class ExactDedup:
         self.spark, self.digest = spark, digest
         self.folder = folder or new_folder(spark, "exact-dedup")
 
-    def _keyed(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, row: str | None = None) -> None:
+        """Take in documents (doc_id, text) and bring the state up to date. Where a column ``row`` (long)
+        numbers them, decisions name it; no number may come twice, in other calls neither."""
         text = text_or_empty()
-        plain = docs.select(F.col("doc_id").cast("long"), normalised(text).alias("plain"), F.char_length(text).alias("n_points"), F.input_file_name().alias("file"))
-        return plain.withColumn("digest", self.digest(F.col("plain")))
-
-    def add(self, docs: DataFrame) -> None:
-        """Take in documents (doc_id, text) and bring the state up to date."""
-        self._keyed(docs).drop("plain").write.mode("append").parquet(f"{self.folder}/entries")
+        given = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+        entries = docs.select(given.alias("row"), F.lit(uuid.uuid4().hex).alias("call"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), self.digest(normalised(text)).alias("digest"))
+        entries.write.mode("append").parquet(f"{self.folder}/entries")
         rows = self.spark.read.parquet(f"{self.folder}/entries").count()
         most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # A state that is there already keeps its number of partitions.
@@ -78,8 +90,8 @@ class ExactDedup:
         for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:
-            first = F.min(F.struct((-F.col("n_points")).alias("less"), "doc_id", "file"))
-            entries = self.spark.readStream.schema("doc_id long, n_points int, file string, digest binary").parquet(f"{self.folder}/entries")
+            first = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("without"), "doc_id", "call", "row"))
+            entries = self.spark.readStream.schema(_ENTRY).parquet(f"{self.folder}/entries")
             state = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
             query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start()
             query.awaitTermination()
@@ -88,54 +100,62 @@ class ExactDedup:
                 self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
 
     def state(self) -> DataFrame:
-        """digest, group_size, keep_id, keep_points, keep_file: what is retained of each text."""
+        """digest, group_size, keep_id, keep_call, keep_row: what is retained of each text."""
         rows = self.spark.read.format("statestore").load(f"{self.folder}/state")
         value = {f.name: F.col(f"value.`{f.name}`") for f in rows.schema["value"].dataType.fields}
         count, first = value["count"], value["min"]
-        return rows.select(
-            F.col("key.digest").alias("digest"), count.alias("group_size"),
-            first["doc_id"].alias("keep_id"), (-first["less"]).alias("keep_points"), first["file"].alias("keep_file"),
-        )
+        return rows.select(F.col("key.digest").alias("digest"), count.alias("group_size"), first["doc_id"].alias("keep_id"), first["call"].alias("keep_call"), first["row"].alias("keep_row"))
 
-    def decide(self, docs: DataFrame) -> DataFrame:
-        """For each row of ``docs``, which ``add`` has taken in: doc_id, digest, keep_id,
-        group_size, kept."""
+    def decide(self, docs: DataFrame, row: str | None = None) -> DataFrame:
+        """For each entry doc_id, digest, keep_id, group_size, kept and row. ``docs`` are all rows that
+        were taken in (``row`` as there): their texts are compared."""
         groups = stored(self.state().where("group_size > 1"), "groups")
-        if groups.count() <= BROADCAST_GROUPS:
-            groups = F.broadcast(groups)
-        hits = self._keyed(docs).join(groups, "digest")
-        same = lambda x: x["doc_id"].eqNullSafe(x["keep_id"]) & (x["n_points"] == x["keep_points"]) & (x["file"] == x["keep_file"])
-        # Written, so that the join below has the rows of a digest to itself and a large group of
-        # hits can be split over tasks.
-        believed = stored(hits.where(same(hits)).groupBy("digest").agg(F.min("plain").alias("believed")), "believed")
-        checked = stored(
-            hits.join(believed, "digest", "left").select(
-                "doc_id", "n_points", "file", "digest", "keep_id", "group_size", "keep_points", "keep_file",
-                F.coalesce(F.col("plain") == F.col("believed"), F.lit(False)).alias("same"),
-            ),
-            "checked",
-        )
-        clash = checked.where("NOT same").select("digest").distinct()
+        n_groups = groups.count()
+        entries = self.spark.read.schema(_ENTRY).parquet(f"{self.folder}/entries")
+        clash = self._clashes(docs, groups, n_groups)
         clashes = not clash.isEmpty()
-        sure = checked.join(clash, "digest", "left_anti") if clashes else checked
-        # Rows alike in doc_id, length, file and text: one of them stays.
-        among = Window.partitionBy("digest", "doc_id", "file").orderBy(F.lit(1))
-        first = sure.where(same(sure)).select("doc_id", "digest", "keep_id", "group_size", (F.row_number().over(among) == 1).alias("kept"))
-        rest = sure.where(~same(sure)).select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
-        entries = self.spark.read.parquet(f"{self.folder}/entries")
-        single = entries.join(groups.select("digest"), "digest", "left_anti")
-        out = single.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-        out = out.unionByName(first).unionByName(rest)
-        return out.unionByName(self._by_text(docs, clash)) if clashes else out
-
-    def _by_text(self, docs: DataFrame, clash: DataFrame) -> DataFrame:
+        sure = groups.join(clash, "digest", "left_anti") if clashes else groups
+        single = entries.join(clash, "digest", "left_anti") if clashes else entries
+        rows = self._grouped(single, sure, n_groups)
+        alone = F.col("group_size").isNull()
+        out = rows.select(
+            "doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+            (alone | ((F.col("call") == F.col("keep_call")) & (F.col("row") == F.col("keep_row")))).alias("kept"), "row",
+        )
+        return out.unionByName(self._by_text(docs, clash, row)) if clashes else out
+
+    def _clashes(self, docs: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+        """Digests (few, if any) that different texts have."""
+        plain = docs.select(normalised(text_or_empty()).alias("plain")).withColumn("digest", self.digest(F.col("plain")))
+        short = groups.select(F.xxhash64("digest").alias("short"))
+        if n_groups <= BROADCAST_DIGESTS:
+            short = F.broadcast(short)
+        # By 8 bytes of the digest: what more comes through makes the comparison no less exact. Beyond
+        # the broadcast, texts are shuffled once, after the distinct ones of each task were found.
+        hits = plain.distinct().join(short, F.xxhash64("digest") == F.col("short"), "left_semi") if n_groups > BROADCAST_DIGESTS else plain.join(short, F.xxhash64("digest") == F.col("short"), "left_semi").distinct()
+        return stored(hits.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clashes")
+
+    def _grouped(self, entries: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+        """``entries`` with their group, where they have one."""
+        if n_groups <= BROADCAST_GROUPS:
+            return entries.join(F.broadcast(groups), "digest", "left")
+        heavy = groups.where(F.col("group_size") > HEAVY * entries.count())
+        many = stored(entries.join(F.broadcast(heavy), "digest", "left"), "with-heavy")
+        light = many.where("group_size IS NULL").select(*entries.columns).join(groups, "digest", "left")
+        return many.where("group_size IS NOT NULL").unionByName(light)
+
+    def _by_text(self, docs: DataFrame, clash: DataFrame, row: str | None) -> DataFrame:
         """The decisions for digests that different texts share."""
-        rows = stored(self._keyed(docs).join(clash, "digest", "left_semi"), "clashes")
-        order = F.struct((-F.col("n_points")).alias("less"), "doc_id", "file")
-        groups = rows.groupBy("digest", "plain").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
-        rows = rows.join(groups, ["digest", "plain"])
-        among = Window.partitionBy("digest", "plain").orderBy((-F.col("n_points")), "doc_id", "file")
-        return rows.select("doc_id", "digest", F.col("first.doc_id").alias("keep_id"), "group_size", (F.row_number().over(among) == 1).alias("kept"))
+        text, number = text_or_empty(), F.col(row).cast("long") if row else F.lit(None).cast("long")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), normalised(text).alias("plain"), number.alias("row"))
+        rows = stored(rows.withColumn("digest", self.digest(F.col("plain"))).join(clash, "digest", "left_semi"), "clashing")
+        among = Window.partitionBy("digest", "plain")
+        order = among.orderBy(-F.col("n_points"), F.asc_nulls_last("doc_id"), "row")
+        return rows.select(
+            "doc_id", "digest", F.first("doc_id").over(order).alias("keep_id"), F.count(F.lit(1)).over(among).alias("group_size"),
+            (F.row_number().over(order) == 1).alias("kept"), "row",
+        )
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -146,23 +166,14 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows alike in doc_id and text,
-    one."""
-    decided = stored(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "decided")
-    lost = decided.where("NOT kept").select("doc_id", "text_sha256").distinct()
-    kept = decided.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    # Null-safe: a row that stays and its copies may all be without doc_id.
-    both = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("text_sha256") == F.col("_kept_sha"))
-    repeated = stored(lost.join(kept, both, "left_semi"), "repeated")
-    lost = stored(lost.join(kept, both, "left_anti"), "lost")
-    marked = docs.withColumn("_sha", F.sha2(normalised(text_or_empty()), 256)).withColumn("_id", F.col("doc_id").cast("long"))
-    on = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_sha") == other["text_sha256"])
-    if lost.count() <= BROADCAST_GROUPS:
+def without_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. They are numbered and written first, so
+    that what goes are rows, not ids or texts."""
+    row, lost_row = unused(docs, "_row"), unused(docs, "_lost")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dedup = ExactDedup(docs.sparkSession, digest=digest)
+    dedup.add(docs, row)
+    lost = stored(dedup.decide(docs, row).where("NOT kept").select(F.col("row").alias(lost_row)), "lost")
+    if lost.count() <= BROADCAST_LOST:
         lost = F.broadcast(lost)
-    out = marked.join(lost, on(lost), "left_anti")
-    if repeated.isEmpty():
-        return out.drop("_sha", "_id")
-    alone = out.join(repeated, on(repeated), "left_anti").drop("_sha", "_id")
-    longest = F.max_by(F.struct(*docs.columns), F.char_length(text_or_empty()))
-    return alone.unionByName(out.join(repeated, on(repeated), "left_semi").groupBy("_id", "_sha").agg(longest.alias("_row")).select("_row.*"))
+    return docs.join(lost, F.col(row) == F.col(lost_row), "left_anti").drop(row)

@@ -5,9 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ontoloom.llm import exact_dedup as module
 from ontoloom.llm.components import components
 from ontoloom.llm.exact_dedup import ExactDedup, exact_dedup, without_copies
 from ontoloom.llm.simhash import fingerprint, near_pairs, simhash_components
@@ -18,7 +20,7 @@ TEXTS = [(1, "a b c", "x"), (2, "abc", "x"), (3, "a  bc\n", "y"), (4, None, "y")
 def plain(rows):
     groups = defaultdict(list)
     for d, t, _ in rows:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is not None, d or 0, d))
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0, d))
     out = []
     for text, own in groups.items():
         keep = min(own)[3]
@@ -61,6 +63,37 @@ def test_bytes_are_checked(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in short) == sorted(x[:4] for x in plain(rows))
 
 
+LIMITS = ("BROADCAST_DIGESTS", "BROADCAST_GROUPS", "BROADCAST_LOST")
+
+
+@pytest.mark.parametrize("heavy", [0.01, 0.5])
+def test_without_broadcasts(spark, monkeypatch, heavy):
+    """One text fills a third of the table: as a heavy group and as a light one."""
+    for name in LIMITS:
+        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(module, "HEAVY", heavy)
+    rng = random.Random(7)
+    rows = [(k, "hot text" if k % 3 == 0 else f"t{rng.randrange(60)}" + " " * (k % 2), "") for k in range(300)]
+    assert told(exact_dedup(frame(spark, rows))) == plain(rows)
+    kept = without_copies(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({k for _, k, *_ in plain(rows)})
+
+
+def test_rows_alike_in_everything(spark):
+    """Equal rows, columns of clashing names, a long text; with digests that clash too."""
+    rows = [(1, "a b", "x")] * 5 + [(None, None, "x")] * 3 + [(2, "z " * 100_000, "y"), (3, "z" * 100_000, "y")]
+    names = {c: F.lit(1) for c in ("_row", "_lost", "row", "digest", "kept", "call", "_id", "_sha")}
+    df = frame(spark, rows, "file").withColumns(names)
+    for digest in (module.sha256, lambda t: F.lit(b"0")):
+        out = without_copies(df, digest)
+        assert out.columns == df.columns
+        assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
+        got = exact_dedup(df, digest).collect()
+        assert len(got) == 10 and sorted(str(r.doc_id) for r in got if r.kept) == ["1", "2", "None"]
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 5), (None, None, 3), (2, 2, 2), (3, 2, 2)}
+    assert without_copies(df.limit(0)).columns == df.columns and without_copies(df.limit(0)).count() == 0
+
+
 def test_rows_that_stay(spark):
     rows = [*TEXTS, (1, "a b c", "x"), (3, "a  bc\n", "other"), (20, "new", "n")]
     out = without_copies(frame(spark, rows, "kept"))

@@ -10,9 +10,11 @@ w + k - 1 is ``span`` no hit is missed. Kept hashes are joined; a match gives a
 and how far apart they lie. Along that diagonal the words themselves are compared and each run of
 equal words is extended to its ends, so hash collisions can't make hits.
 
-Null and empty texts have no words and no hits. Rows that repeat an item_id count as one item with
-several texts. Rows without doc_id have no hits, as in the query's SQL; they, and rows that repeat a doc_id (they
-would share hits), must be told apart by the caller: ``leaking_texts`` does.
+Hits belong to texts: documents are told apart by the digest of their text, so rows without doc_id,
+or with that of another, are rows like others, and copies are searched once for each task that has
+them. Null and empty texts have no words and no hits; a text may have as many words as an array can
+hold. Rows that repeat an item_id count as one item with several texts. Empty tables give no hits;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,24 +26,31 @@ from .shared import lower_ascii, stored, text_key, text_or_empty
 
 #: Benchmark fingerprints (24 bytes each) up to which they are broadcast.
 BROADCAST_FINGERPRINTS = 500_000
-#: Rows of hits up to which they are broadcast to the documents they are in.
+#: Texts with hits up to which their keys (and counts) are broadcast to the documents.
 BROADCAST_HITS = 100_000
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The low bits of a kept hash hold its place, the high bits the hash: the least of them is the
-#: least hash, the first of equal ones.
-_PLACES = (1 << 26) - 1
+#: least hash, the first of equal ones. 31 bits hold the place of any array.
+_PLACES = (1 << 31) - 1
+#: First words of short items are looked up in so many slots before their grams are hashed.
+_SLOTS = 1 << 16
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), _BETWEEN, -1), "")
 
 
-def _hashed(name: str, k: int) -> Column:
-    """Hash and place of every k-gram of an array of word hashes, as one long each."""
-    grams = F.sequence(F.lit(0), F.size(name) - k)
-    one = lambda i: F.xxhash64(*[F.get(name, i + j) for j in range(k)]).bitwiseAND(~_PLACES).bitwiseOR(i.cast("long"))
-    return F.when(F.size(name) >= k, F.transform(grams, one)).otherwise(F.array().cast("array<long>"))
+def _gram(name: str, i: Column, k: int) -> Column:
+    """Hash and place of the k-gram at ``i`` of an array of word hashes, as one long."""
+    return F.xxhash64(F.lit(k), *[F.get(name, i + j) for j in range(k)]).bitwiseAND(~_PLACES).bitwiseOR(i.cast("long"))
+
+
+def _grams(name: str, k: int, where=None) -> Column:
+    """``_gram`` at every place, or at those for which ``where`` holds."""
+    places = F.sequence(F.lit(0), F.size(name) - k)
+    places = F.filter(places, where) if where else places
+    return F.when(F.size(name) >= k, F.transform(places, lambda i: _gram(name, i, k))).otherwise(F.array().cast("array<long>"))
 
 
 def _winnowed(name: str, w: int) -> Column:
@@ -51,74 +60,91 @@ def _winnowed(name: str, w: int) -> Column:
     return F.when(F.size(name) > 0, F.array_distinct(least)).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprints(texts: DataFrame, key: str, k: int, w: int) -> DataFrame:
-    """(key, hash, place) of the kept k-grams; ``texts`` has key and ``hashes`` of its words."""
-    grams = texts.select(key, _hashed("hashes", k).alias("grams"))
-    kept = grams.select(key, F.explode(_winnowed("grams", w) if w > 1 else F.col("grams")).alias("at"))
-    return kept.select(key, F.col("at").bitwiseAND(~_PLACES).alias("hash"), F.col("at").bitwiseAND(_PLACES).cast("int").alias("place"))
+def _slot(word_hash: Column) -> Column:
+    return F.pmod(word_hash, F.lit(_SLOTS)).cast("int")
 
 
-def _worded(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, words(text_or_empty()).alias("words"))
+def fingerprints(texts: DataFrame, key: str, k: int, w: int, short: list[int], first_words: bytes | None = None) -> DataFrame:
+    """(key, hash, place) of the kept k-grams and of all grams of the lengths ``short``, in one pass;
+    ``texts`` has key and ``hashes`` of its words. ``first_words`` has a byte for each slot of word
+    hashes: grams are only made where it is set for their first word."""
+    flagged = lambda i: F.substring(F.lit(first_words), _slot(F.get("hashes", i)) + 1, F.lit(1)) == F.lit(b"\x01")
+    texts = texts.select(key, "hashes", _grams("hashes", k).alias("grams"))
+    kept = F.concat(_winnowed("grams", w), *[_grams("hashes", n, flagged if first_words is not None else None) for n in short])
+    rows = texts.select(key, F.explode(kept).alias("at"))
+    return rows.select(key, F.col("at").bitwiseAND(~_PLACES).alias("hash"), F.col("at").bitwiseAND(_PLACES).cast("int").alias("place"))
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7) -> DataFrame:
-    """Per document with hits: doc_id, hits array<struct<item_id, start, stop>>: half-open runs of
-    document words. Runs may overlap."""
+    """Per text with hits: text_key, hits (item_id, start, stop): half-open runs of its words. Runs may
+    overlap."""
     items = items.select("item_id", words(text_or_empty()).alias("words")).where(F.size("words") > 0).distinct()
     items = stored(items.select(F.xxhash64("item_id", F.to_json("words")).alias("item_row"), "item_id", "words"), "items")
     hashed = lambda x: F.transform(x, lambda v: F.xxhash64(v))
-    doc_words = _worded(docs, "doc_id")
-    # Items as long as a span are winnowed; for shorter ones every gram of their length is kept.
-    short = [r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().orderBy(F.size("words")).limit(span).collect()]
-    matches = None
-    for size, (grams, window) in {span: (k, span - k + 1), **{n: (n, 1) for n in short}}.items():
-        own = items.where(F.size("words") >= span if size == span else F.size("words") == size)
-        marks = stored(fingerprints(own.select("item_row", hashed("words").alias("hashes")), "item_row", grams, window), "marks")
-        if marks.count() <= BROADCAST_FINGERPRINTS:
-            marks = F.broadcast(marks)
-        seen = fingerprints(doc_words.select("doc_id", hashed("words").alias("hashes")), "doc_id", grams, window)
-        found = seen.join(marks.withColumnRenamed("place", "item_place"), "hash").select("doc_id", "item_row", (F.col("place") - F.col("item_place")).alias("shift"))
-        matches = found if matches is None else matches.unionByName(found)
-    by_doc = matches.distinct().join(items.select("item_row", "item_id", F.col("words").alias("item_words")), "item_row")
-    by_doc = stored(by_doc, "matches")
-    of_docs = by_doc.select("doc_id").distinct()
-    if by_doc.count() <= BROADCAST_HITS:
-        of_docs = F.broadcast(of_docs)
-    own_words = stored(doc_words.join(of_docs, "doc_id", "left_semi"), "hit-documents")
+    # Items as long as a span are winnowed; of shorter ones the whole, as one gram. Lengths below span
+    # and slots of their first words, _SLOTS at most, go to the driver.
+    of_items = items.select("item_row", hashed("words").alias("hashes"))
+    brief = of_items.where(F.size("hashes") < span)
+    short = sorted(r[0] for r in brief.select(F.size("hashes")).distinct().collect())
+    flags = bytearray(_SLOTS)
+    for r in brief.select(_slot(F.get("hashes", 0))).distinct().collect():
+        flags[r[0]] = 1
+    marks = fingerprints(of_items.where(F.size("hashes") >= span), "item_row", k, span - k + 1, [])
+    whole = brief.select("item_row", F.explode(F.concat(*[F.when(F.size("hashes") == n, _grams("hashes", n)).otherwise(F.array().cast("array<long>")) for n in short])).alias("at")) if short else None
+    if whole is not None:
+        marks = marks.unionByName(whole.select("item_row", F.col("at").bitwiseAND(~_PLACES).alias("hash"), F.col("at").bitwiseAND(_PLACES).cast("int").alias("place")))
+    marks = stored(marks.withColumnRenamed("place", "item_place"), "marks")
+    if marks.count() <= BROADCAST_FINGERPRINTS:
+        marks = F.broadcast(marks)
+    worded = docs.select(text_key().alias("text_key"), words(text_or_empty()).alias("words"))
+    seen = fingerprints(worded.select("text_key", hashed("words").alias("hashes")), "text_key", k, span - k + 1, short, bytes(flags))
+    matches = seen.join(marks, "hash").select("text_key", "item_row", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    by_text = stored(matches.join(items.select("item_row", "item_id", F.col("words").alias("item_words")), "item_row"), "matches")
+    of_texts = stored(by_text.select("text_key").distinct(), "hit-texts")
+    if of_texts.count() <= BROADCAST_HITS:
+        of_texts = F.broadcast(of_texts)
+    # One row for each text, found in each task before it is shuffled.
+    own_words = stored(worded.join(of_texts, "text_key", "left_semi").distinct(), "hit-words")
     n = F.size("item_words")
     # Of the item's places 0..n: where a run of equal words begins and where it has ended.
     equal = lambda j: F.coalesce((j >= 0) & (j < n) & (F.get("own", j) == F.get("item_words", j)), F.lit(False))
     low = F.greatest(F.col("shift"), F.lit(0))
-    aligned = by_doc.join(own_words, "doc_id").select(
-        "doc_id", "item_id", "shift", "item_words",
-        # the document's words beside the item's, nulls where the document has none
+    aligned = by_text.join(own_words, "text_key").select(
+        "text_key", "item_id", "shift", "item_words",
+        # the text's words beside the item's, nulls where the text has none
         F.concat(F.array_repeat(F.lit(None).cast("string"), low - F.col("shift")), F.slice("words", low + 1, n - (low - F.col("shift")))).alias("own"),
     )
     places = F.sequence(F.lit(0), n)
     runs = aligned.select(
-        "doc_id", "item_id", "shift", n.alias("n"),
+        "text_key", "item_id", "shift", n.alias("n"),
         F.filter(places, lambda j: equal(j) & ~equal(j - 1)).alias("starts"),
         F.filter(places, lambda j: ~equal(j) & equal(j - 1)).alias("stops"),
     )
-    hits = runs.select("doc_id", "item_id", "shift", "n", F.explode(F.arrays_zip("starts", "stops")).alias("run"))
+    hits = runs.select("text_key", "item_id", "shift", "n", F.explode(F.arrays_zip("starts", "stops")).alias("run"))
     hits = hits.where(F.col("run.stops") - F.col("run.starts") >= F.least(F.col("n"), F.lit(span)))
-    return hits.select("doc_id", "item_id", (F.col("run.starts") + F.col("shift")).alias("start"), (F.col("run.stops") + F.col("shift")).alias("stop")).distinct()
+    return hits.select("text_key", "item_id", (F.col("run.starts") + F.col("shift")).alias("start"), (F.col("run.stops") + F.col("shift")).alias("stop")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7, share: int = 20) -> DataFrame:
-    """For every document: doc_id, n_words, n_hit (words inside hits), n_items, items_sha256 and
-    contaminated: a ``share``-th or more of its words are hit."""
+def _by_text(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """text_key, n_hit and items of the texts with hits."""
     hits = stored(contaminated_words(docs, items, span, k), "hits")
     # The words of a run that no run beginning before it has covered.
-    before = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("text_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max("stop").over(before), F.lit(0))
-    fresh = hits.select("doc_id", F.greatest(F.col("stop") - F.greatest("start", covered), F.lit(0)).cast("long").alias("n"))
-    n_hit = fresh.groupBy("doc_id").agg(F.sum("n").alias("n_hit"))
-    found = hits.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    by_doc = n_hit.join(found, "doc_id").withColumnRenamed("doc_id", "hit_id")
-    counted = docs.select("doc_id", F.size(words(text_or_empty())).cast("long").alias("n_words"))
-    out = counted.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    fresh = hits.select("text_key", F.greatest(F.col("stop") - F.greatest("start", covered), F.lit(0)).cast("long").alias("n"))
+    n_hit = fresh.groupBy("text_key").agg(F.sum("n").alias("n_hit"))
+    found = hits.select("text_key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return stored(n_hit.join(found, "text_key").withColumnRenamed("text_key", "hit_key"), "hit-counts")
+
+
+def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7, share: int = 20) -> DataFrame:
+    """For every document: doc_id, n_words, n_hit (words inside hits), n_items, items_sha256 and
+    contaminated: a ``share``-th or more of its words are hit."""
+    by_text = _by_text(docs, items, span, k)
+    if by_text.count() <= BROADCAST_HITS:
+        by_text = F.broadcast(by_text)
+    counted = docs.select("doc_id", text_key().alias("text_key"), F.size(words(text_or_empty())).cast("long").alias("n_words"))
+    out = counted.join(by_text, F.col("text_key") == F.col("hit_key"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"),
@@ -128,7 +154,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7,
     )
 
 
-def leaking_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaking_texts(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 7, share: int = 20) -> DataFrame:
     """``text_key`` (as _key) of the contaminated texts."""
-    found = contamination(docs.select(text_key().alias("doc_id"), "text"), items)
-    return found.where("contaminated").select(F.col("doc_id").alias("_key"))
+    by_text = _by_text(docs, items, span, k)
+    if by_text.count() <= BROADCAST_HITS:
+        by_text = F.broadcast(by_text)
+    counted = docs.select(text_key().alias("text_key"), F.size(words(text_or_empty())).cast("long").alias("n_words"))
+    found = counted.join(by_text, F.col("text_key") == F.col("hit_key")).where(F.col("n_hit") * share >= F.col("n_words"))
+    return found.select(F.col("text_key").alias("_key")).distinct()

@@ -1,164 +1,190 @@
 """Toxicity scores from the nearest labelled examples (operator 10).
 
-Labels are learnt from a bounded sample of labelled documents: those of ``max_examples`` whose
-hashed doc_id is least. From the sample come the features, which are the words and beginnings of
-words whose use differs most between the two labels (log-likelihood ratio; at most ``max_terms``).
-Their document frequencies are counted over all documents. A text is the TF-IDF vector of its
-features, of length one; the score comes from the ``k`` examples with the largest exact cosine,
-each voting with its cosine, and a prior with the weight of half a full match. Votes become
-probabilities by isotonic regression on held-in examples that were left out of their own vote.
-
-The examples are searched with an inverted index whose postings are cut into blocks of examples,
-with the largest weight of each term in each block. Blocks are visited in the order of their
-bounds until no bound can reach the k-th best cosine; so the k best are exact.
-
-Texts without features (empty and null ones too) get the share of toxic ones among such examples.
-Ties go to the earlier example. Repeated rows give repeated rows; an empty table gives an empty
-one; without any labelled example the score is 0.5. doc_id, lang and source are not features.
+A text is the TF-IDF vector, of length one, of all its words that some labelled example has: other
+words can't add to a cosine. Document frequencies are counted over all documents. What a word weighs
+beside them is learnt from the examples: its weight is multiplied by one more than the amount by
+which its likelihood ratio of the two labels, either way, exceeds what chance gives one word in a
+thousand (CHANCE), so that languages and topics count less than what the labels are about. No word
+weighs nothing, and none is left out.
+
+The score comes from the ``k`` examples with the largest exact cosine: each votes with the square of
+its cosine, and votes become probabilities by isotonic regression over the examples, each of them
+left out of its own vote. An example whose text is the row's own is never its neighbour.
+
+The examples are searched with an inverted index whose postings are cut into blocks of examples, with
+the largest weight of each word in each block. Blocks are visited in the order of their bounds until
+no bound reaches the k-th best cosine; so the k best are exact.
+
+Labels are learnt from a bounded sample: of the labelled documents those of ``max_examples`` whose
+hashed doc_id is least; equal texts are one example, toxic if at least half of their labels are. All
+else covers all rows. Texts without a known word (empty and null ones too) get the share of toxic ones
+among such examples, drawn to that of all examples. Ties go to the earlier example of the index.
+Repeated rows give repeated rows; an empty table gives an empty one; extra columns are ignored;
+without any labelled example the score is 0.5. doc_id, lang and source are not inputs of a score.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_key, without_texts
+from .shared import stored, text_key, text_or_empty, without_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
-#: Beginnings of words that are features beside the words, in characters.
-PREFIXES = (4, 5, 6)
-MIN_LIFT = 3
-#: Occurrences of a term in a text from which it counts as a further feature: the length of a
-#: vector says nothing about its cosine, so that a word is used often must be a term of its own.
-REPEATS = (2, 4)
-#: Counts that a task holds before it passes them on.
-_HELD = 300_000
-#: Examples in a block of the index.
-_BLOCK = 1024
-
-
-def terms_of(word: str, prefixes: tuple[int, ...] = PREFIXES) -> list[str]:
-    return [word] + [word[:n] + "*" for n in prefixes if len(word) > n]
-
-
-def repeated(counts: Counter) -> Iterator[tuple[str, int]]:
-    """The terms with their counts, and one more feature for each step in REPEATS reached."""
-    for t, n in counts.items():
-        yield t, n
-        for k, least in enumerate(REPEATS, 1):
-            if n >= least:
-                yield t + "+" * k, n
-
-
-def finder(terms: Iterable[str]) -> Callable[[str], Counter]:
-    """Counts ``terms`` (and what they repeat) in a lower-case text: as ``terms_of`` its words, but
-    by one automaton over all terms, which only stops where one of them stands."""
-    from ahocorasick import Automaton
-
-    plain = {t.rstrip("+") for t in terms}
-    machine = Automaton()
-    for bare in {t.rstrip("*") for t in plain}:
-        machine.add_word(bare, (len(bare), bare if bare in plain else None, bare + "*" if bare + "*" in plain else None))
-    if plain:
-        machine.make_automaton()
-    letter = _LETTER.match
-
-    def find(text: str) -> Counter:
-        seen: Counter[str] = Counter()
-        if not plain:
-            return seen
-        end = len(text) - 1
-        for last, (n, word, beginning) in machine.iter(text):
-            first = last - n
-            if first >= 0 and letter(text[first]):
-                continue
-            if last < end and letter(text[last + 1]):
-                if beginning:
-                    seen[beginning] += 1
-            elif word:
-                seen[word] += 1
-        return seen
-
-    return find
+#: The value that a likelihood ratio with one degree of freedom passes by chance once in a thousand.
+CHANCE = 10.83
+#: Examples in a block of the index, queries in a batch, and the share of the examples above which a
+#: word is a row of the matrix (so there are at most 16 times as many rows as an example has words).
+_BLOCK, _BATCH, _SHARE = 64, 64, 1 / 16
+#: Runs that a worker remembers.
+_HELD = 200_000
+_EVIDENCE = "array<struct<doc_id long, label int, cosine double>>"
+
+
+def words_of(text: str) -> Counter:
+    """The runs of letters of a text in lower case, and how often each occurs."""
+    out: Counter[str] = Counter()
+    for part, n in Counter(text.lower().split()).items():  # white space is no letter
+        if part.isalpha():
+            out[part] += n
+        else:
+            for w in _WORD.findall(part):
+                out[w] += n
+    return out
+
+
+def likelihood_ratio(with_word: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """G² of words and labels: ``with_word`` has, for each label, how many examples have the word."""
+    total, all_ = float(sum(sizes)), with_word.sum(0)
+    out = np.zeros(with_word.shape[1])
+    for own, size in zip(with_word, sizes):
+        for seen, among in ((own, all_), (size - own, total - all_)):
+            expected = among * size / total
+            out += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0)
+    return out
+
+
+class Numbers:
+    """The known words of texts, as numbers. What a run of letters, digits and marks between white
+    space has in known words is remembered (``_HELD`` such runs, then anew)."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words, self.n = words, len(words)
+        self._known: dict[str, int] = {}
+        self._several: list[list[int]] = []
+
+    def _learn(self, part: str) -> int:
+        """-1 without a known word, its number with one, else a place in ``_several`` behind them."""
+        if len(self._known) >= _HELD:
+            self._known.clear()
+        found = [self.words[w] for w in _WORD.findall(part) if w in self.words]
+        if len(found) > 1:
+            self._several.append(found)
+        got = self._known[part] = found[0] if len(found) == 1 else self.n + len(self._several) - 1 if found else -1
+        return got
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(words, times) of a whole text."""
+        if len(self._several) >= _HELD:
+            self._known.clear()
+            self._several.clear()
+        parts = text.lower().split()
+        found = list(map(self._known.get, parts))
+        if None in found:
+            for k, got in enumerate(found):
+                if got is None:
+                    part = parts[k]
+                    found[k] = self._known[part] if part in self._known else self._learn(part)
+        all_ = np.array(found, np.int64)
+        more = [self._several[i - self.n] for i in all_[all_ >= self.n].tolist()]
+        return np.unique(np.concatenate([all_[(all_ >= 0) & (all_ < self.n)], *more]).astype(np.int64), return_counts=True)
+
+
+def _runs(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """All numbers of the half-open ranges, one range after another."""
+    n = stops - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-@dataclass
 class Index:
-    """Block-max inverted index over the examples' vectors."""
-
-    vectors: list[list[tuple[int, float]]]
-    labels: np.ndarray
-    ids: list[int | None]
-    prior: float = 0.5
-    k: int = 15
-    knots: tuple[np.ndarray, np.ndarray] | None = None
-    postings: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for e, vector in enumerate(self.vectors):
-            for t, w in vector:
-                by_term.setdefault(t, []).append((e, w))
-        blocks = len(self.vectors) // _BLOCK + 1
-        for t, found in by_term.items():
-            at = np.array([e for e, _ in found], np.int64)
-            weight = np.array([w for _, w in found])
-            most = np.zeros(blocks)
-            np.maximum.at(most, at // _BLOCK, weight)
-            # within a block, an example is known by its place there
-            self.postings[t] = at % _BLOCK, weight, most, np.searchsorted(at, np.arange(blocks + 1) * _BLOCK)
-
-    def nearest(self, vector: list[tuple[int, float]], without: int = -1) -> list[tuple[int, float]]:
-        """(example, cosine) of the k best with a cosine above zero, best first; ``without`` is
-        left out."""
-        own = [(w, *self.postings[t]) for t, w in vector if t in self.postings]
-        if not own:
-            return []
-        bound = sum(w * most for w, _, _, most, _ in own)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            kth = -best[-1][0] if len(best) == self.k else 0.0
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                break
-            score = np.zeros(_BLOCK)
-            for w, at, weight, _, cut in own:
-                low, high = cut[b], cut[b + 1]
-                score[at[low:high]] += w * weight[low:high]
-            score = np.round(score, 12)
-            if 0 <= without - b * _BLOCK < _BLOCK:
-                score[without - b * _BLOCK] = 0
-            found = np.flatnonzero((score > 0) & (score >= kth))
-            if len(found) > self.k:
-                found = found[np.lexsort((found, -score[found]))[: self.k]]
-            best = sorted(best + list(zip((-score[found]).tolist(), (found + b * _BLOCK).tolist())))[: self.k]
-        return [(e, -s) for s, e in best]
-
-    def vote(self, vector: list[tuple[int, float]], without: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        found = self.nearest(vector, without)
-        weight = sum(s for _, s in found) + 0.5
-        return (sum(s * float(self.labels[e]) for e, s in found) + 0.5 * self.prior) / weight, found
-
-    def score(self, vector: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
-        if not vector:
-            return self.prior, []
-        vote, found = self.vote(vector)
-        if self.knots is not None:
-            vote = float(np.interp(vote, *self.knots))
-        return vote, found
+    """Block-max inverted index over vectors given as (words, weights), words as numbers.
+
+    Words that many examples have are kept as rows of a matrix, one weight for each example, and a
+    batch of queries is multiplied with it; the others as postings, cut into blocks of examples, with
+    the largest weight of each block. After the first step the k-th best sum so far bounds the k-th
+    best cosine from below, and the largest sum in a block with the largest weights there of a
+    query's other words bounds its cosines from above: only blocks that reach the former are visited.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_words: int, k: int, block: int = _BLOCK, share: float = _SHARE):
+        self.k, self.block, self.size = k, block, len(vectors)
+        word = np.concatenate([w for w, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(w) for w, _ in vectors])
+        weight = np.concatenate([x for _, x in vectors] or [np.zeros(0)])
+        self.blocks = max(1, -(-len(vectors) // block))
+        frequent = np.flatnonzero(np.bincount(word, minlength=n_words) > share * len(vectors))
+        self.row = np.full(n_words, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((len(frequent), self.blocks * block))
+        dense = self.row[word] >= 0
+        self.matrix[self.row[word[dense]], example[dense]] = weight[dense]
+        word, example, weight = word[~dense], example[~dense], weight[~dense]
+        order = np.lexsort((example, word))
+        word, example, self.weight = word[order], example[order], weight[order]
+        self.place = (example % block).astype(np.int32)
+        # A cell: the postings of one word in one block.
+        cell = word * self.blocks + example // block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(first, len(cell))
+        self.cell_block = (cell[first] % self.blocks).astype(np.int64)
+        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_words + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (examples, cosines) of the k best with a cosine above zero, best first, as
+        the examples' order has equal ones; the example in ``without`` is left out."""
+        for low in range(0, len(queries), _BATCH):
+            batch = queries[low : low + _BATCH]
+            asked = np.zeros((len(batch), len(self.matrix)))
+            for q, (words, weights) in enumerate(batch):
+                row = self.row[words]
+                asked[q, row[row >= 0]] = weights[row >= 0]
+            for (words, weights), sums, own in zip(batch, asked @ self.matrix, without[low:]):
+                rare = self.row[words] < 0
+                yield self._nearest(words[rare], weights[rare], sums, own)
+
+    def _nearest(self, words: np.ndarray, weights: np.ndarray, sums: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        if without >= 0:
+            sums[without] = -np.inf
+        kth = np.partition(sums, -self.k)[-self.k] if self.k < len(sums) else 0.0
+        low, high = self.cells[words], self.cells[words + 1]
+        cell, asked = _runs(low, high), np.repeat(weights, high - low)
+        block = self.cell_block[cell]
+        bound = sums.reshape(self.blocks, self.block).max(1) + np.bincount(block, asked * self.cell_max[cell], self.blocks)
+        visit = bound >= max(kth - 1e-9, 0.0)
+        wanted = visit[block]
+        cell, asked = cell[wanted], asked[wanted]
+        start, stop = self.start[cell], self.start[cell + 1]
+        at, n = _runs(start, stop), stop - start
+        slot = np.repeat(block[wanted] * self.block, n) + self.place[at]
+        score = np.round(sums + np.bincount(slot, np.repeat(asked, n) * self.weight[at], len(sums)), 12)
+        found = np.flatnonzero((score > 0) & (score >= kth - 1e-9) & np.repeat(visit, self.block))
+        if len(found) > self.k:
+            found = found[np.lexsort((found, -score[found]))[: self.k]]
+        order = np.lexsort((found, -score[found]))
+        return found[order], score[found[order]]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the least-squares non-decreasing fit (pool adjacent violators), drawn towards
-    the middle by half an observation of each kind so that no value is 0 or 1."""
+    """Knots of the least-squares non-decreasing fit (pool adjacent violators), drawn towards the
+    middle by half an observation of each kind so that no value is 0 or 1."""
     pools: list[list[float]] = []  # sum of y, count, sum of x
     for a, b in sorted(zip(x.tolist(), y.tolist())):
         pools.append([b, 1.0, a])
@@ -169,137 +195,139 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.maximum.accumulate([(s + 0.5) / (n + 1) for s, n, _ in pools])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
-    """(doc_id, text, toxic) of the sample, written once."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # At most max_examples rows of two numbers.
-    return stored(texts.join(F.broadcast(known), "doc_id"), "examples")
-
-
-def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
-    """The features, the most telling first."""
+class Model:
+    """What is learnt: ``examples`` are (text_key, doc_id, toxic, words, times), ``words`` all their
+    words, ``df`` how many of ``n_docs`` documents have each."""
+
+    def __init__(self, examples: list[tuple], words: dict[str, int], df: np.ndarray, n_docs: int, k: int):
+        self.words = words
+        toxic = np.array([e[2] for e in examples], bool)
+        self.prior = (toxic.sum() + 0.5) / (len(toxic) + 1)
+        seen = [np.fromiter(map(words.__getitem__, e[3]), np.int64, len(e[3])) for e in examples]
+        sizes, n = (int((~toxic).sum()), int(toxic.sum())), len(words)
+        with_word = np.zeros((2, n))
+        for own, bad in zip(seen, toxic):
+            with_word[int(bad), own] += 1
+        telling = likelihood_ratio(with_word, sizes) if min(sizes) else np.zeros(n)
+        self.factor = (np.log((1 + n_docs) / (1 + df)) + 1) * (1 + np.maximum(0, telling - CHANCE))
+        vectors = [self._weighted(own, np.array(e[4], float)) for own, e in zip(seen, examples)]
+        # Examples with the same most frequent word (so, mostly, language) and label lie together, which
+        # makes the blocks' bounds tight. The order decides nothing else but ties.
+        lead = [max(zip(e[4], e[3]), default=(0, ""))[1] for e in examples]
+        order = sorted(range(len(examples)), key=lambda i: (lead[i], bool(toxic[i]), examples[i][0]))
+        self.label, self.doc_id = toxic[order].astype(float), [examples[i][1] for i in order]
+        self.own = {examples[i][0]: place for place, i in enumerate(order)}
+        vectors = [vectors[i] for i in order]
+        self.index = Index(vectors, n, k)
+        bare = np.array([not len(w) for w, _ in vectors], bool)
+        self.bare = (self.label[bare].sum() + self.prior) / (bare.sum() + 1)
+        self.knots: tuple[np.ndarray, np.ndarray] | None = None
+        told = [i for i in range(len(vectors)) if len(vectors[i][0])]
+        if len(told) >= 50 and min(sizes):
+            votes = np.array([self._vote(*near) for near in self.index.nearest([vectors[i] for i in told], told)])
+            self.knots = isotonic(votes, self.label[told])
+
+    def _weighted(self, words: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(times)) * self.factor[words]
+        return words, weight / np.sqrt((weight * weight).sum()) if len(words) else weight
+
+    def _vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
+        power = cosines * cosines
+        return float((power * self.label[examples]).sum() / power.sum()) if len(examples) else float(self.prior)
+
+    def scores(self, texts: list[str], numbers: Numbers) -> Iterator[tuple[float, list[dict]]]:
+        """Of each text the score and the three nearest examples."""
+        if not self.own:
+            yield from ((0.5, []) for _ in texts)
+            return
+        found = [numbers.of(t) for t in texts]
+        queries = [self._weighted(words, times) for words, times in found]
+        own = [self.own.get(hashlib.sha256(t.encode("utf-8", "replace")).digest(), -1) for t in texts]
+        for (words, _), (near, cosines) in zip(found, self.index.nearest(queries, own)):
+            if not len(words):
+                yield float(self.bare), []
+                continue
+            vote = self._vote(near, cosines)
+            if self.knots is not None:
+                vote = float(np.interp(vote, *self.knots))
+            yield vote, [{"doc_id": self.doc_id[e], "label": int(self.label[e]), "cosine": float(c)} for e, c in zip(near[:3], cosines[:3])]
+
+
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple]:
+    """The sample, as words and their numbers: at most ``max_examples`` texts' go to the driver."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_key().alias("key"))
+    # At most max_examples rows of two numbers are broadcast. An id may stand for many rows.
+    rows = rows.join(F.broadcast(known), "doc_id")
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = stored(texts.orderBy("key").limit(max_examples), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = Counter(), Counter()
-
-        def passed() -> pa.RecordBatch:
-            terms = list(held[0].keys() | held[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)], names=["term", "n0", "n1"])
-            held[0].clear()
-            held[1].clear()
-            return out
-
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts: Counter[str] = Counter()
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    for t in terms_of(w):
-                        counts[t] += n
-                held[1 if toxic else 0].update(t for t, _ in repeated(counts))
-                if len(held[0]) + len(held[1]) > _HELD:
-                    yield passed()
-        yield passed()
-
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
-    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
-    if not n1 or not n0:
-        return []
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n = float(n0 + n1)
-    all_ = F.col("n0") + F.col("n1")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    ratio = sum(
-        part(F.col(c), all_ * (size / n)) + part(size - F.col(c), (n - all_) * (size / n))
-        for c, size in (("n0", float(n0)), ("n1", float(n1)))
-    )
-    kept = counts.where(all_ >= 3).withColumn("ratio", 2 * ratio)
-    # 20: about one term in a hundred thousand does so by chance. A feature speaks for toxicity
-    # when its texts are toxic at least MIN_LIFT times as often as others.
-    kept = kept.where(F.col("n1") >= all_ * F.lit(min(0.9, MIN_LIFT * n1 / n)))
-    kept = kept.where("ratio > 20").orderBy(F.desc("ratio"), "term").limit(max_terms)
-    return [r["term"] for r in kept.select("term").collect()]
-
-
-def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id (or ``_key`` in its place, if docs have it), terms array<int>, times array<int>: the
-    features in each whole text."""
-    name, key = _key(docs)
-    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+            seen = [words_of(t) for t in batch.column(3).to_pylist()]
+            words, times = pa.array([list(c) for c in seen], pa.list_(pa.string())), pa.array([list(c.values()) for c in seen], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, times], names=["key", "doc_id", "toxic", "words", "times"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        find = finder(number)
-        for batch in batches:
-            found, times = [], []
-            for text in batch.column(1).to_pylist():
-                own = sorted((number[t], n) for t, n in repeated(find(text.lower())) if t in number) if text else []
-                found.append([t for t, _ in own])
-                times.append([n for _, n in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=[name, "terms", "times"])
+    table = texts.mapInArrow(count, "key binary, doc_id long, toxic double, words array<string>, times array<long>").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in table.columns)))
+    return [(key, doc, toxic >= 0.5, words, times) for key, doc, toxic, words, times in rows]
 
-    return docs.select(F.col(name).cast(key), F.col("text").cast("string")).mapInArrow(count, f"{name} {key}, terms array<int>, times array<int>")
 
+def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, int]:
+    """How many documents have each of ``words``, and how many documents there are."""
+    spark, n = docs.sparkSession, len(words)
+    shared = spark.sparkContext.broadcast(words)
 
-def _key(docs: DataFrame) -> tuple[str, str]:
-    """Name and type of the column that rows go by."""
-    return ("_key", "binary") if "_key" in docs.columns else ("doc_id", "long")
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, seen, rows = Numbers(shared.value), np.zeros(n + 1, np.int64), 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            rows += len(texts)
+            for low in range(0, len(texts), _BATCH):
+                found = [numbers.of(t)[0] for t in texts[low : low + _BATCH] if t]
+                if found:
+                    seen += np.bincount(np.concatenate(found), minlength=n + 1)
+        seen[n] = rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
+
+    # Every task sends one row for each word it has met.
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    out = np.zeros(n + 1, np.int64)
+    out[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
+    return out[:n], int(out[n])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, row: Column, kind: str, max_examples: int, k: int) -> DataFrame:
+    """``row`` (of type ``kind``), score and evidence of every row."""
+    examples = _examples(docs, labels, max_examples)
+    words = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[3]}))}
+    df, n_docs = _document_frequencies(docs, words) if words else (np.zeros(0, np.int64), 0)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(examples, words, df, n_docs, k))
+    told = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        numbers = Numbers(model.words)
+        for batch in batches:
+            out = list(model.scores([t or "" for t in batch.column(1).to_pylist()], numbers))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], told)], names=["row", "score", "evidence"])
 
-def _vector(terms: list[int], times: list[int], idf: dict[int, float]) -> list[tuple[int, float]]:
-    raw = [(t, (1 + math.log(n)) * idf[t]) for t, n in zip(terms, times)]
-    norm = math.sqrt(sum(w * w for _, w in raw))
-    return [(t, w / norm) for t, w in raw] if norm else []
+    rows = docs.select(row.cast(kind).alias("row"), F.col("text").cast("string"))
+    out = stored(rows.mapInArrow(score, f"row {kind}, score double, evidence {_EVIDENCE}"), "scores")
+    shared.destroy()
+    return out
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 2_000, k: int = 15, calibrate_on: int = 4_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int = 30) -> DataFrame:
     """doc_id, score and evidence (array of the three nearest examples' doc_id, label, cosine).
 
-    A column ``_key`` (binary) of ``docs`` is returned in place of doc_id.
-
-    ``labels`` (doc_id, toxic) are all learnt from: leave out what is held out before. The sample,
-    its features and their counts are what goes to the driver: at most ``max_examples`` short
-    vectors and ``max_terms`` numbers. ``calibrate_on`` bounds the examples of the isotonic fit.
+    ``labels`` (doc_id, toxic) are all learnt from: leave out what is held out before. What goes to
+    the driver and to the workers grows with ``max_examples`` alone.
     """
-    spark = docs.sparkSession
-    sample = _sample(docs, labels, max_examples)
-    terms = _select_terms(sample, max_terms)
-    counts = stored(_term_counts(docs, terms), "term-counts")
-    name, key = _key(docs)
-    n_docs = counts.count()
-    df = {r["t"]: r["count"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))}
-    examples = _term_counts(sample.drop("_key"), terms).join(F.broadcast(sample.select("doc_id", "toxic").distinct()), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(examples.collect(), key=lambda r: r["doc_id"])
-    vectors = [_vector(r["terms"], r["times"], idf) for r in rows]
-    labels_ = np.array([float(r["toxic"] > 0) for r in rows])
-    plain = np.array([not v for v in vectors], bool)
-    prior = float((labels_[plain].sum() + 0.5) / (plain.sum() + 1)) if len(rows) else 0.5
-    index = Index(vectors, labels_, [r["doc_id"] for r in rows], prior, k)
-    held_in = [e for e in range(len(rows)) if vectors[e]]
-    held_in = held_in[:: max(1, len(held_in) // calibrate_on)][:calibrate_on]
-    if len(held_in) >= 50:
-        votes = np.array([index.vote(vectors[e], e)[0] for e in held_in])
-        index.knots = isotonic(votes, labels_[held_in])
-    shared = spark.sparkContext.broadcast((index, idf))
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (index, idf), known = shared.value, {}
-        for batch in batches:
-            out = []
-            for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (tuple(t), tuple(n))
-                if key not in known:
-                    if len(known) > _HELD // 4:
-                        known.clear()
-                    s, found = index.score(_vector(t, n, idf))
-                    known[key] = s, [{"doc_id": index.ids[e], "label": int(index.labels[e]), "cosine": c} for e, c in found[:3]]
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], kind)], names=[name, "score", "evidence"])
-
-    return counts.mapInArrow(score, f"{name} {key}, score double, evidence array<struct<doc_id long, label int, cosine double>>")
+    return _scored(docs, labels, F.col("doc_id"), "long", max_examples, k).withColumnRenamed("row", "doc_id")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -307,11 +335,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_examples: int = 4_000, k: int = 30) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns.
 
     Scores depend on the text alone, so texts are rejected, not ids: rows without doc_id, and rows
     that repeat one, are told apart.
     """
-    scores = toxicity_scores(docs.withColumn("_key", text_key()), labels.where(~held_out()))
-    return without_texts(docs, scores.where(F.col("score") >= threshold).select("_key"), "toxic")
+    scores = _scored(docs, labels.where(~held_out()), text_key(), "binary", max_examples, k)
+    return without_texts(docs, scores.where(F.col("score") >= threshold).select("row"), "toxic")

@@ -36,10 +36,11 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
     """Pack items, given as how many there are of each length, into bins.
 
     A bin is filled greedily with the longest item that still fits. Then its smallest item is
-    replaced by the two unpacked items, each of a sixth of the capacity or more (smaller ones are
-    worth more later), that together fill the gap it leaves best, if they fill it better than it
-    does; of pairs that fill it alike, the most even one. Bins that come out alike are made at once, so the work grows with
-    the number of lengths, not of items: no more than a few bins' kinds for each length.
+    replaced by the two unpacked items that together fill the gap it leaves best, if they fill it
+    better than it does; of pairs that fill it alike, the most even one. As in the published algorithm
+    (Friesen and Langston 1991) only items of a sixth of the capacity or more come in pairs: smaller
+    ones are worth more later. Bins that come out alike are made at once, so the work grows with the
+    number of lengths, not of items: no more than a few bins' kinds for each length.
     Returns (lengths in the bin, number of such bins).
     """
     left = {k: v for k, v in counts.items() if v > 0}
@@ -218,6 +219,8 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
     as input_ids; 0 at the beginning of each piece and on), doc_ids and starts (of each piece:
     its document and the place of its first id there).
     """
+    if capacity > 65_536:
+        raise ValueError("positions of more than 65,536 tokens don't fit the 16 bits of a small vocabulary")
     schema = "block string, sequence long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ from operator import sub
 
 import numpy as np
 
-#: Entries that a worker remembers before it starts anew.
-REMEMBERED = 900_000
+#: Entries (about 150 bytes each) that a worker remembers in one table before it starts anew.
+REMEMBERED = 200_000
 
 #: The usual byte-level cutting rule, in the syntax of ``re``; [^\W\d_] with the numbers that
 #: are not decimal digits taken out is \p{L}. Used only below FIRST_OTHER.

@@ -32,6 +32,25 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(out, F.lit("\\c"), F.lit(":")), F.lit("\\b"), F.lit("\\"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+
+
+def _before(sizes: Column, step: int = 64) -> Column:
+    """For each element the sum of those before it: of whole steps, and of what is left in its own. So a
+    long array is not summed anew for each of its elements."""
+    step_of = lambda i: F.floor(i / step).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), step_of(F.size(sizes))), lambda b: _sum(F.slice(sizes, b * step + 1, F.lit(step))))
+    steps = _let(sums, lambda s: F.transform(s, lambda _, b: _sum(F.slice(s, F.lit(1), b))))
+    rest = lambda i: F.slice(sizes, i - i % step + 1, i % step)
+    return _let(steps, lambda s: F.transform(sizes, lambda _, i: F.get(s, step_of(i)) + _sum(rest(i))))
+
+
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row for each conv_id: conv_id, formatted, loss_spans array<struct<start,stop>>.
 
@@ -62,21 +81,17 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     )
     turns = turns.select("conv_id", runs.alias("runs"))
     blocks = F.transform("runs", lambda r: F.concat(F.lit(TURN), escape(r["role"], role=True), F.lit(": "), F.array_join(r["texts"], JOIN), F.lit(END)))
-    turns = turns.withColumn("blocks", blocks).withColumn("sizes", F.transform("blocks", F.length))
-
-    def total(sizes: Column) -> Column:
-        return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
-
-    def spans(r: Column, k: Column) -> Column:
-        head = total(F.slice("sizes", 1, k)) + len(TURN) + F.length(escape(r["role"], role=True)) + 2
-
-        def span(t: Column, j: Column) -> Column:
-            start = head + total(F.transform(F.slice(r["texts"], 1, j), lambda x: F.length(x) + len(JOIN)))
-            return F.struct(start.alias("start"), (start + F.length(t)).alias("stop"))
+    turns = turns.withColumn("blocks", blocks)
 
-        return F.when(r["role"] == trained_role, F.transform(r["texts"], span)).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    def spans(r: Column, head: Column) -> Column:
+        start = head + len(TURN) + F.length(escape(r["role"], role=True)) + 2
+        sizes = F.transform(r["texts"], lambda x: F.length(x) + len(JOIN))
+        found = _let(_before(sizes), lambda before: F.transform(r["texts"], lambda t, j: F.struct((start + F.get(before, j)).alias("start"), (start + F.get(before, j) + F.length(t)).alias("stop"))))
+        return F.when(r["role"] == trained_role, found).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
 
-    return turns.select("conv_id", F.array_join("blocks", "").alias("formatted"), F.flatten(F.transform("runs", spans)).alias("loss_spans"))
+    heads = _let(F.transform("blocks", lambda b: F.length(b)), lambda sizes: _before(sizes))
+    all_ = _let(heads, lambda h: F.transform("runs", lambda r, k: spans(r, F.get(h, k))))
+    return turns.select("conv_id", F.array_join("blocks", "").alias("formatted"), F.flatten(all_).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -1,12 +1,16 @@
 """Format-preserving pseudonyms for numbers and dates (operator 6).
 
 Values are found by pattern and believed only when they validate: card numbers by their check
-digit, account numbers (IBAN) by their remainder, addresses (IPv4) by their octets, social
-security numbers and phone numbers by their ranges, dates by the calendar. Each is replaced by a
-keyed permutation of the values of its kind, a Feistel network over the digits or the day number,
-walked until it lands on a valid value again. So separators and lengths stay, check digits are
-right, and equal values, however they are written, get equal pseudonyms in all documents. Local
-parts of mail addresses are permuted letter for letter and digit for digit.
+digit, account numbers (IBAN) by their remainder, addresses (IPv4) by their octets, social security
+numbers by their ranges, dates (1900 to 2099) by the calendar. Phone numbers have no check: they go by
+their shape, and by not being one digit repeated. Each is replaced by a keyed permutation of the
+values of its kind, a Feistel network over the digits or the day number, walked until it lands on a
+valid value again. So separators and (but for IPv4) lengths stay, check digits are right, and equal
+values, however they are written, get equal pseudonyms in all documents; with the key, ``Pseudonyms(key, back=True)``
+turns them back. Local parts of mail addresses are permuted letter for letter and digit for digit.
+
+What stays in clear: what doesn't validate, dates outside those years, the domains of mail addresses,
+and the country codes of phone and account numbers.
 
 Null texts stay null and empty ones empty, with no values; repeated rows and extra columns stay.
 Columns ``n_values`` and ``kinds`` of the input are replaced.
@@ -51,10 +55,10 @@ _MAY = re.compile(r"[0-9@]")
 
 
 class Pseudonyms:
-    """Permutations under one key."""
+    """Permutations under one key, or back."""
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, back: bool = False):
+        self.key, self.back = key, back
         self._known = lru_cache(maxsize=100_000)(self._replaced)
 
     def _round(self, tweak: str, k: int, x: int) -> int:
@@ -66,8 +70,8 @@ class Pseudonyms:
         side = isqrt(n - 1) + 1 if n > 1 else 1
         while True:
             a, b = divmod(x, side)
-            for k in range(ROUNDS):
-                a, b = b, (a + self._round(tweak, k, b)) % side
+            for k in range(ROUNDS)[:: -1 if self.back else 1]:
+                a, b = ((b - self._round(tweak, k, a)) % side, a) if self.back else (b, (a + self._round(tweak, k, b)) % side)
             x = a * side + b
             if x < n:
                 return x
@@ -156,12 +160,19 @@ class Pseudonyms:
         if _luhn(plain[:-1]) != plain[-1] or len(set(plain)) == 1:
             return None
         new = self.digits(plain[:-1], "card")
+        while len(set(new + _luhn(new))) == 1:
+            new = self.digits(new, "card")
         return self._refill(value, new + _luhn(new))
 
-    def _phone(self, value: str) -> str:
+    def _phone(self, value: str) -> str | None:
         plain = re.sub("[^0-9]", "", value)
         country, own = plain[:-10] if len(plain) > 10 else "", plain[-10:]
-        return self._refill(value, country + self.digits(own, "phone"))
+        if len(set(own)) == 1:
+            return None
+        own = self.digits(own, "phone")
+        while len(set(own)) == 1:
+            own = self.digits(own, "phone")
+        return self._refill(value, country + own)
 
     def replace(self, text: str | None) -> tuple[str | None, list[str]]:
         """The text with its values replaced, and the kinds of the values in order."""

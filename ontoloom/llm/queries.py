@@ -50,8 +50,8 @@ def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = prefix_token_counts(docs, BYTE_BPE, keep_deltas=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    counted = prefix_token_counts(docs, BYTE_BPE, keep_deltas=False, budget=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_points_within")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 A fingerprint has a bit set where over half of the document's shingle hashes have it. Texts are
 lower-cased (A-Z), cut at ASCII white space; shingles are three words with one space between,
 repeats included; shorter texts are one shingle, texts without words (null too) have fingerprint
-zero and are linked like any other. Rows that repeat a doc_id each have a row.
+zero and are linked like any other. Rows that repeat a doc_id each have a row, and the same
+component_id if they have the same fingerprint; rows without doc_id take part like others, and name a
+component only where all of its rows are without (null comes last). Extra columns are ignored, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ def _least_linked(rows: DataFrame, order: Column, distance: int) -> DataFrame:
 def near_copies(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
     """``text_key`` (as _key) of the texts that go when of linked ones the one with the smallest
     doc_id stays (rows without doc_id come last, then the key decides)."""
-    rows = stored(fingerprints(docs.withColumn("_key", text_key()), words), "fingerprints")
+    rows = stored(fingerprints(docs.select("doc_id", "text", text_key().alias("_key")), words), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
     least = _least_linked(rows, order, distance).withColumnRenamed("fp", "at")
     found = rows.join(least, F.col("fp") == F.col("at"))

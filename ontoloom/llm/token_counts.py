@@ -3,7 +3,8 @@
 Null and empty texts have no prefixes and zero tokens. Repeated rows give repeated rows, extra
 columns stay, and an empty table gives an empty one. The output columns are ``prefix_deltas``
 (binary, int16 little-endian for each code point: how much the token count changes with it),
-``n_tokens`` and ``n_bytes``; columns of the same names in the input are replaced.
+``n_tokens``, ``n_bytes`` and, where a budget is given, ``n_points_within``; columns of the same names
+in the input are replaced.
 """
 
 from __future__ import annotations
@@ -24,28 +25,33 @@ def _lengths(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def prefix_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep_deltas: bool = True) -> DataFrame:
-    """Add the prefix table of each text, its token count and its length in UTF-8 bytes.
+def prefix_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", keep_deltas: bool = True, budget: int | None = None) -> DataFrame:
+    """Add the prefix table of each text, its token count and its length in UTF-8 bytes; with ``budget``
+    also the code points of the longest prefix of at most that many tokens.
 
-    ``keep_deltas=False`` computes the same table and returns only what it ends with.
+    ``keep_deltas=False`` computes the same table and returns only what was asked of it.
     """
-    kept = docs.drop("prefix_deltas", "n_tokens", "n_bytes")
+    kept = docs.drop("prefix_deltas", "n_tokens", "n_bytes", "n_points_within")
     fields = list(kept.schema.fields) + [T.StructField("prefix_deltas", T.BinaryType())] * keep_deltas
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())]
+    fields += [T.StructField("n_points_within", T.LongType())] * (budget is not None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(tokenizer)
         for batch in batches:
-            deltas, tokens, sizes = [], [], []
+            deltas, tokens, sizes, within = [], [], [], []
             for t in _lengths(batch, text):
                 d = counter.deltas(t)
                 tokens.append(int(d.sum(dtype=np.int64)))
                 sizes.append(len(t.encode()) if t else 0)
+                if budget is not None:
+                    within.append(len(d) if tokens[-1] <= budget else longest_prefix(d, budget))
                 if keep_deltas:
                     deltas.append(d.tobytes())
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns += [pa.array(deltas, pa.binary())] * keep_deltas
             columns += [pa.array(tokens, pa.int64()), pa.array(sizes, pa.int64())]
+            columns += [pa.array(within, pa.int64())] * (budget is not None)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return kept.mapInArrow(count, T.StructType(fields))

@@ -46,6 +46,8 @@ def test_counts_as_table(spark):
     assert len(rows) == len(ROWS)
     assert sorted((r.n_tokens, r.n_bytes) for r in rows) == sorted((len(library(t or "")), len((t or "").encode())) for _, t, _ in ROWS)
     assert prefix_token_counts(df.limit(0), PATH).count() == 0
+    within = {(r.doc_id, r.n_points_within) for r in prefix_token_counts(df, PATH, keep_deltas=False, budget=3).collect()}
+    assert within == {(d, max(n for n in range(min(len(t or ""), 60) + 1) if len(library((t or "")[:n])) <= 3)) for d, t, _ in ROWS}
     told = prefix_token_counts(df.where("doc_id = 4"), PATH).select(tokens_in_prefix("prefix_deltas", 17).alias("a"), prefix_within("prefix_deltas", 100).alias("b")).first()
     text = ROWS[-1][1]
     assert told.a == len(library(text[:17]))
@@ -155,3 +157,18 @@ def test_matrices_give_every_token_back(spark):
     for doc, text, _ in rows:
         assert [t for s in sorted(ids[doc]) for t in ids[doc][s]] == library(text or "") + [50256]
     assert packed_matrices(df.limit(0), PATH).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Each row is a document of its own, whatever its id and whatever other columns are called."""
+    df = spark.createDataFrame([(d, t) for d, t, _ in ROWS], "doc_id long, text string")
+    more = df.selectExpr("*", "1 AS piece", "2 AS block", "3 AS length", "4 AS row", "5 AS sequence")
+    for rows in (df, more):
+        out = best_fit_packing(rows, PATH).collect()
+        assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(d for d, *_ in ROWS)
+        assert sum(r.length for r in out) == sum(len(library(t or "")) + 1 for _, t, _ in ROWS)
+        packed = packed_matrices(rows, PATH).collect()
+        assert sum(r.n_tokens for r in packed) == sum(len(library(t or "")) + 1 for _, t, _ in ROWS)
+    assert best_fit_packing(more.limit(0), PATH).count() == packed_matrices(more.limit(0), PATH).count() == 0
+    with pytest.raises(ValueError):
+        packed_matrices(df, PATH, capacity=65_537)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import sliced, stored
 from .tokens import byte_bpe
 
 
@@ -104,7 +104,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen, block = byte_bpe(tokenizer), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.append(bpe.ids(text).astype(wide), np.array([end_id], wide))
@@ -245,7 +245,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
                 names = ["block", "sequence", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.concatenate([bpe.ids(text), tail])
                 for start, n in cuts(len(ids), capacity):

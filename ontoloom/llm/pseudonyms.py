@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import sliced
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
@@ -250,7 +252,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms = Pseudonyms(key)
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text)
             done = [pseudonyms.replace(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(k) if k != at else pa.array([t for t, _ in done], batch.column(k).type) for k in range(batch.num_columns)]

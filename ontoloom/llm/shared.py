@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder, shared_dir, stored
 
-__all__ = ["lower_ascii", "new_folder", "shared_dir", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
+__all__ = ["lower_ascii", "new_folder", "shared_dir", "sliced", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -25,6 +28,13 @@ def text_key() -> Column:
     return F.unhex(F.sha2(text_or_empty(), 256))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores after it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, text_key
+from .shared import sliced, stored, text_key
 
 #: Words that are hashed and counted at once, so that long texts need no more memory.
 _AT_ONCE = 65_536
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     keys = [c for c in docs.columns if c == "_key"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keys])
 

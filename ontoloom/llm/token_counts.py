@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .shared import sliced
 from .tokens import longest_prefix, prefix_counter
 
 
@@ -38,7 +39,7 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", kee
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             deltas, tokens, sizes, within = [], [], [], []
             for t in _lengths(batch, text):
                 d = counter.deltas(t)

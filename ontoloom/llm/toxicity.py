@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_key, text_or_empty, without_texts
+from .shared import sliced, stored, text_key, text_or_empty, without_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: The value that a likelihood ratio with one degree of freedom passes by chance once in a thousand.
@@ -43,8 +43,8 @@ CHANCE = 10.83
 #: Examples in a block of the index, queries in a batch, and the share of the examples above which a
 #: word is a row of the matrix (so there are at most 16 times as many rows as an example has words).
 _BLOCK, _BATCH, _SHARE = 64, 64, 1 / 16
-#: Runs that a worker remembers.
-_HELD = 200_000
+#: Parts of texts that a worker remembers.
+_HELD = 50_000
 _EVIDENCE = "array<struct<doc_id long, label int, cosine double>>"
 
 
@@ -72,39 +72,31 @@ def likelihood_ratio(with_word: np.ndarray, sizes: tuple[int, int]) -> np.ndarra
 
 
 class Numbers:
-    """The known words of texts, as numbers. What a run of letters, digits and marks between white
-    space has in known words is remembered (``_HELD`` such runs, then anew)."""
+    """The known words of texts, as numbers. What is between white space and not letters alone is cut
+    once and remembered (up to ``_HELD`` of it, then anew)."""
 
     def __init__(self, words: dict[str, int]):
-        self.words, self.n = words, len(words)
-        self._known: dict[str, int] = {}
-        self._several: list[list[int]] = []
-
-    def _learn(self, part: str) -> int:
-        """-1 without a known word, its number with one, else a place in ``_several`` behind them."""
-        if len(self._known) >= _HELD:
-            self._known.clear()
-        found = [self.words[w] for w in _WORD.findall(part) if w in self.words]
-        if len(found) > 1:
-            self._several.append(found)
-        got = self._known[part] = found[0] if len(found) == 1 else self.n + len(self._several) - 1 if found else -1
-        return got
+        self.words = words
+        self._mixed: dict[str, list[int]] = {}
+
+    def _cut(self, part: str) -> list[int]:
+        if len(self._mixed) >= _HELD:
+            self._mixed.clear()
+        found = self._mixed[part] = [self.words[w] for w in _WORD.findall(part) if w in self.words]
+        return found
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(words, times) of a whole text."""
-        if len(self._several) >= _HELD:
-            self._known.clear()
-            self._several.clear()
-        parts = text.lower().split()
-        found = list(map(self._known.get, parts))
-        if None in found:
-            for k, got in enumerate(found):
-                if got is None:
-                    part = parts[k]
-                    found[k] = self._known[part] if part in self._known else self._learn(part)
-        all_ = np.array(found, np.int64)
-        more = [self._several[i - self.n] for i in all_[all_ >= self.n].tolist()]
-        return np.unique(np.concatenate([all_[(all_ >= 0) & (all_ < self.n)], *more]).astype(np.int64), return_counts=True)
+        found: list[int] = []
+        get, mixed, add = self.words.get, self._mixed.get, found.append
+        for part in text.lower().split():
+            if part.isalpha():
+                if (i := get(part)) is not None:
+                    add(i)
+            else:
+                own = mixed(part)
+                found += self._cut(part) if own is None else own
+        return np.unique(np.array(found, np.int64), return_counts=True)
 
 
 def _runs(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -196,28 +188,25 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What is learnt: ``examples`` are (text_key, doc_id, toxic, words, times), ``words`` all their
-    words, ``df`` how many of ``n_docs`` documents have each."""
+    """What is learnt: of each example its text_key, doc_id, label, words and how often they occur; the
+    numbers of all their words in order, and how many of ``n_docs`` documents have each."""
 
-    def __init__(self, examples: list[tuple], words: dict[str, int], df: np.ndarray, n_docs: int, k: int):
-        self.words = words
-        toxic = np.array([e[2] for e in examples], bool)
+    def __init__(self, keys: list[bytes], doc_ids: list, toxic: np.ndarray, seen: list[np.ndarray], times: list[np.ndarray], words: dict[str, int], df: np.ndarray, n_docs: int, k: int):
+        self.words, n = words, len(words)
         self.prior = (toxic.sum() + 0.5) / (len(toxic) + 1)
-        seen = [np.fromiter(map(words.__getitem__, e[3]), np.int64, len(e[3])) for e in examples]
-        sizes, n = (int((~toxic).sum()), int(toxic.sum())), len(words)
+        sizes = (int((~toxic).sum()), int(toxic.sum()))
         with_word = np.zeros((2, n))
         for own, bad in zip(seen, toxic):
             with_word[int(bad), own] += 1
         telling = likelihood_ratio(with_word, sizes) if min(sizes) else np.zeros(n)
         self.factor = (np.log((1 + n_docs) / (1 + df)) + 1) * (1 + np.maximum(0, telling - CHANCE))
-        vectors = [self._weighted(own, np.array(e[4], float)) for own, e in zip(seen, examples)]
         # Examples with the same most frequent word (so, mostly, language) and label lie together, which
         # makes the blocks' bounds tight. The order decides nothing else but ties.
-        lead = [max(zip(e[4], e[3]), default=(0, ""))[1] for e in examples]
-        order = sorted(range(len(examples)), key=lambda i: (lead[i], bool(toxic[i]), examples[i][0]))
-        self.label, self.doc_id = toxic[order].astype(float), [examples[i][1] for i in order]
-        self.own = {examples[i][0]: place for place, i in enumerate(order)}
-        vectors = [vectors[i] for i in order]
+        lead = [max(zip(t.tolist(), own.tolist()), default=(0, -1))[1] for own, t in zip(seen, times)]
+        order = sorted(range(len(keys)), key=lambda i: (lead[i], bool(toxic[i]), keys[i]))
+        self.label, self.doc_id = toxic[order].astype(float), [doc_ids[i] for i in order]
+        self.own = {keys[i]: place for place, i in enumerate(order)}
+        vectors = [self._weighted(seen[i], times[i]) for i in order]
         self.index = Index(vectors, n, k)
         bare = np.array([not len(w) for w, _ in vectors], bool)
         self.bare = (self.label[bare].sum() + self.prior) / (bare.sum() + 1)
@@ -253,8 +242,9 @@ class Model:
             yield vote, [{"doc_id": self.doc_id[e], "label": int(self.label[e]), "cosine": float(c)} for e, c in zip(near[:3], cosines[:3])]
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple]:
-    """The sample, as words and their numbers: at most ``max_examples`` texts' go to the driver."""
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list, list, np.ndarray, list, list, dict[str, int]]:
+    """The sample, as ``Model`` takes it, and the numbers of its words: at most ``max_examples`` texts'
+    words go to the driver."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), text_key().alias("key"))
@@ -264,14 +254,22 @@ def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tup
     texts = stored(texts.orderBy("key").limit(max_examples), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             seen = [words_of(t) for t in batch.column(3).to_pylist()]
             words, times = pa.array([list(c) for c in seen], pa.list_(pa.string())), pa.array([list(c.values()) for c in seen], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, times], names=["key", "doc_id", "toxic", "words", "times"])
 
-    table = texts.mapInArrow(count, "key binary, doc_id long, toxic double, words array<string>, times array<long>").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in table.columns)))
-    return [(key, doc, toxic >= 0.5, words, times) for key, doc, toxic, words, times in rows]
+    table = texts.mapInArrow(count, "key binary, doc_id long, toxic double, words array<string>, times array<long>").toArrow().combine_chunks()
+    keys, doc_ids, toxic, words, times = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    edges = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))[:-1] if len(words) else []
+    seen, often = np.split(number[coded.indices.to_numpy(zero_copy_only=False)], edges), np.split(times.flatten().to_numpy(), edges)
+    seen, often = (seen, often) if len(words) else ([], [])
+    return keys.to_pylist(), doc_ids.to_pylist(), toxic.to_numpy(zero_copy_only=False) >= 0.5, seen, often, {names[i]: n for n, i in enumerate(order)}
 
 
 def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -281,13 +279,11 @@ def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nd
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, seen, rows = Numbers(shared.value), np.zeros(n + 1, np.int64), 0
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            rows += len(texts)
-            for low in range(0, len(texts), _BATCH):
-                found = [numbers.of(t)[0] for t in texts[low : low + _BATCH] if t]
-                if found:
-                    seen += np.bincount(np.concatenate(found), minlength=n + 1)
+        for batch in sliced(batches):
+            rows += batch.num_rows
+            found = [numbers.of(t)[0] for t in batch.column(0).to_pylist() if t]
+            if found:
+                seen += np.bincount(np.concatenate(found), minlength=n + 1)
         seen[n] = rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
@@ -302,16 +298,16 @@ def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nd
 
 def _scored(docs: DataFrame, labels: DataFrame, row: Column, kind: str, max_examples: int, k: int) -> DataFrame:
     """``row`` (of type ``kind``), score and evidence of every row."""
-    examples = _examples(docs, labels, max_examples)
-    words = {w: i for i, w in enumerate(sorted({w for e in examples for w in e[3]}))}
+    *examples, words = _examples(docs, labels, max_examples)
     df, n_docs = _document_frequencies(docs, words) if words else (np.zeros(0, np.int64), 0)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(examples, words, df, n_docs, k))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(*examples, words, df, n_docs, k))
+    del examples, words
     told = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         numbers = Numbers(model.words)
-        for batch in batches:
+        for batch in sliced(batches):
             out = list(model.scores([t or "" for t in batch.column(1).to_pylist()], numbers))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], told)], names=["row", "score", "evidence"])
 

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored, text_or_empty, unused
+from .shared import new_folder, settings, stored, text_or_empty, unused
 
 #: Duplicated digests up to which 8 bytes of each are broadcast to find the rows that have them.
 BROADCAST_DIGESTS = 2_000_000
@@ -83,21 +83,15 @@ class ExactDedup:
         rows = self.spark.read.parquet(f"{self.folder}/entries").count()
         most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # A state that is there already keeps its number of partitions.
-        settings = _STATE | {"spark.sql.shuffle.partitions": str(min(most, max(4, rows // PER_STORE)))}
+        values = _STATE | {"spark.sql.shuffle.partitions": str(min(most, max(4, rows // PER_STORE)))}
         if self.folder.startswith(("file:", "/")):
-            settings |= _LOCAL
-        kept = {k: self.spark.conf.get(k, None) for k in settings}
-        for k, v in settings.items():
-            self.spark.conf.set(k, v)
-        try:
+            values |= _LOCAL
+        with settings(self.spark, values):
             first = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("without"), "doc_id", "call", "row"))
             entries = self.spark.readStream.schema(_ENTRY).parquet(f"{self.folder}/entries")
             state = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
             query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start()
             query.awaitTermination()
-        finally:
-            for k, v in kept.items():
-                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
 
     def state(self) -> DataFrame:
         """digest, group_size, keep_id, keep_call, keep_row: what is retained of each text."""

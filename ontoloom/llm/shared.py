@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder, shared_dir, stored
 
-__all__ = ["lower_ascii", "new_folder", "shared_dir", "sliced", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
+__all__ = ["lower_ascii", "new_folder", "settings", "shared_dir", "sliced", "stored", "stored_arrow", "text_key", "text_or_empty", "unused", "without_texts"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -28,6 +29,26 @@ def text_key() -> Column:
     return F.unhex(F.sha2(text_or_empty(), 256))
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings are ``values`` inside, and what they were after."""
+    kept = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def stored_arrow(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, for plans with Python in them: whole texts go there 1,000 at a time, as both sides
+    hold a batch."""
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        return stored(df, name)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts, so that a worker holds few texts as Python strings at a time."""
     for batch in batches:

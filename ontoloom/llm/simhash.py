@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, stored, text_key
+from .shared import sliced, stored, stored_arrow, text_key
 
 #: Words that are hashed and counted at once, so that long texts need no more memory.
 _AT_ONCE = 65_536
@@ -86,7 +86,7 @@ def simhash_components(docs: DataFrame, distance: int = 3, words: int = 3) -> Da
     """doc_id, fp and component_id, the smallest doc_id that links of at most ``distance`` bits
     reach. Copies share a fingerprint and are linked through it, so a group of copies takes part
     in the search as one row."""
-    rows = stored(fingerprints(docs, words), "fingerprints")
+    rows = stored_arrow(fingerprints(docs, words), "fingerprints")
     named = _least_linked(rows, F.col("doc_id"), distance)
     return rows.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
@@ -105,7 +105,7 @@ def _least_linked(rows: DataFrame, order: Column, distance: int) -> DataFrame:
 def near_copies(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
     """``text_key`` (as _key) of the texts that go when of linked ones the one with the smallest
     doc_id stays (rows without doc_id come last, then the key decides)."""
-    rows = stored(fingerprints(docs.select("doc_id", "text", text_key().alias("_key")), words), "fingerprints")
+    rows = stored_arrow(fingerprints(docs.select("doc_id", "text", text_key().alias("_key")), words), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key")
     least = _least_linked(rows, order, distance).withColumnRenamed("fp", "at")
     found = rows.join(least, F.col("fp") == F.col("at"))

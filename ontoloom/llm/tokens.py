@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from operator import sub
 
 import numpy as np
@@ -53,16 +53,13 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         if spec["model"]["type"] != "BPE" or kind != "ByteLevel" or spec.get("normalizer"):
             raise ValueError(f"{path}: not a plain byte-level BPE")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         byte_of = _byte_of()
         self.ranks = {
@@ -77,6 +74,16 @@ class ByteBpe:
         self._code = "H" if self.width.itemsize == 2 else "I"
         self._chunks: dict[str, bytes | None] = {}
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own, for what needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pretoken."""
         return self._piece(piece)

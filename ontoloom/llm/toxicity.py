@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, text_key, text_or_empty, without_texts
+from .shared import sliced, stored, stored_arrow, text_key, text_or_empty, without_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: The value that a likelihood ratio with one degree of freedom passes by chance once in a thousand.
@@ -289,7 +289,8 @@ def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
 
     # Every task sends one row for each word it has met.
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stored_arrow(counts, "document-frequencies").toArrow()
     shared.destroy()
     out = np.zeros(n + 1, np.int64)
     out[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
@@ -312,7 +313,7 @@ def _scored(docs: DataFrame, labels: DataFrame, row: Column, kind: str, max_exam
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], told)], names=["row", "score", "evidence"])
 
     rows = docs.select(row.cast(kind).alias("row"), F.col("text").cast("string"))
-    out = stored(rows.mapInArrow(score, f"row {kind}, score double, evidence {_EVIDENCE}"), "scores")
+    out = stored_arrow(rows.mapInArrow(score, f"row {kind}, score double, evidence {_EVIDENCE}"), "scores")
     shared.destroy()
     return out
 

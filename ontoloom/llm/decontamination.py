@@ -26,7 +26,7 @@ from .shared import lower_ascii, stored, text_key, text_or_empty
 
 #: Benchmark fingerprints (24 bytes each) up to which they are broadcast.
 BROADCAST_FINGERPRINTS = 500_000
-#: Texts with hits up to which their keys (and counts) are broadcast to the documents.
+#: Texts with hits, or rows of matches, up to which they (50 bytes each, or short lists) are broadcast.
 BROADCAST_HITS = 100_000
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -99,17 +99,20 @@ def contaminated_words(docs: DataFrame, items: DataFrame, span: int = 13, k: int
     worded = docs.select(text_key().alias("text_key"), words(text_or_empty()).alias("words"))
     seen = fingerprints(worded.select("text_key", hashed("words").alias("hashes")), "text_key", k, span - k + 1, short, bytes(flags))
     matches = seen.join(marks, "hash").select("text_key", "item_row", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    by_text = stored(matches.join(items.select("item_row", "item_id", F.col("words").alias("item_words")), "item_row"), "matches")
-    of_texts = stored(by_text.select("text_key").distinct(), "hit-texts")
+    matches = stored(matches, "matches")
+    of_texts = stored(matches.select("text_key").distinct(), "hit-texts")
     if of_texts.count() <= BROADCAST_HITS:
         of_texts = F.broadcast(of_texts)
     # One row for each text, found in each task before it is shuffled.
     own_words = stored(worded.join(of_texts, "text_key", "left_semi").distinct(), "hit-words")
+    if matches.count() <= BROADCAST_HITS:
+        matches = F.broadcast(matches)
+    both = own_words.join(matches, "text_key").join(items.select("item_row", "item_id", F.col("words").alias("item_words")), "item_row")
     n = F.size("item_words")
     # Of the item's places 0..n: where a run of equal words begins and where it has ended.
     equal = lambda j: F.coalesce((j >= 0) & (j < n) & (F.get("own", j) == F.get("item_words", j)), F.lit(False))
     low = F.greatest(F.col("shift"), F.lit(0))
-    aligned = by_text.join(own_words, "text_key").select(
+    aligned = both.select(
         "text_key", "item_id", "shift", "item_words",
         # the text's words beside the item's, nulls where the text has none
         F.concat(F.array_repeat(F.lit(None).cast("string"), low - F.col("shift")), F.slice("words", low + 1, n - (low - F.col("shift")))).alias("own"),

@@ -37,9 +37,6 @@ BROADCAST_GROUPS = 200_000
 #: Groups with more than this share of all rows are joined by broadcast in any case: there are at most
 #: as many as its inverse.
 HEAVY = 1 / 1000
-#: Rows that go up to which their numbers (8 bytes each) are broadcast.
-BROADCAST_LOST = 2_000_000
-
 _ENTRY = "row long, call string, doc_id long, n_points int, digest binary"
 
 _STATE = {
@@ -73,12 +70,10 @@ class ExactDedup:
         self.spark, self.digest = spark, digest
         self.folder = folder or new_folder(spark, "exact-dedup")
 
-    def add(self, docs: DataFrame, row: str | None = None) -> None:
-        """Take in documents (doc_id, text) and bring the state up to date. Where a column ``row`` (long)
-        numbers them, decisions name it; no number may come twice, in other calls neither."""
+    def add(self, docs: DataFrame) -> None:
+        """Take in documents (doc_id, text) and bring the state up to date."""
         text = text_or_empty()
-        given = F.col(row).cast("long") if row else F.monotonically_increasing_id()
-        entries = docs.select(given.alias("row"), F.lit(uuid.uuid4().hex).alias("call"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), self.digest(normalised(text)).alias("digest"))
+        entries = docs.select(F.monotonically_increasing_id().alias("row"), F.lit(uuid.uuid4().hex).alias("call"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), self.digest(normalised(text)).alias("digest"))
         entries.write.mode("append").parquet(f"{self.folder}/entries")
         rows = self.spark.read.parquet(f"{self.folder}/entries").count()
         most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -94,18 +89,23 @@ class ExactDedup:
             query.awaitTermination()
 
     def state(self) -> DataFrame:
-        """digest, group_size, keep_id, keep_call, keep_row: what is retained of each text."""
+        """digest, group_size, keep_id, keep_points, keep_call, keep_row: what is retained of each text."""
         rows = self.spark.read.format("statestore").load(f"{self.folder}/state")
         value = {f.name: F.col(f"value.`{f.name}`") for f in rows.schema["value"].dataType.fields}
         count, first = value["count"], value["min"]
-        return rows.select(F.col("key.digest").alias("digest"), count.alias("group_size"), first["doc_id"].alias("keep_id"), first["call"].alias("keep_call"), first["row"].alias("keep_row"))
+        return rows.select(
+            F.col("key.digest").alias("digest"), count.alias("group_size"),
+            first["doc_id"].alias("keep_id"), (-first["less"]).alias("keep_points"), first["call"].alias("keep_call"), first["row"].alias("keep_row"),
+        )
 
-    def decide(self, docs: DataFrame, row: str | None = None) -> DataFrame:
-        """For each entry doc_id, digest, keep_id, group_size, kept and row. ``docs`` are all rows that
-        were taken in (``row`` as there): their texts are compared."""
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(_ENTRY).parquet(f"{self.folder}/entries")
+
+    def decide(self, docs: DataFrame) -> DataFrame:
+        """For each entry doc_id, digest, keep_id, group_size and kept. ``docs`` are all rows that were
+        taken in: their texts are compared."""
         groups = stored(self.state().where("group_size > 1"), "groups")
-        n_groups = groups.count()
-        entries = self.spark.read.schema(_ENTRY).parquet(f"{self.folder}/entries")
+        n_groups, entries = groups.count(), self.entries()
         clash = self._clashes(docs, groups, n_groups)
         clashes = not clash.isEmpty()
         sure = groups.join(clash, "digest", "left_anti") if clashes else groups
@@ -115,9 +115,46 @@ class ExactDedup:
         out = rows.select(
             "doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            (alone | ((F.col("call") == F.col("keep_call")) & (F.col("row") == F.col("keep_row")))).alias("kept"), "row",
+            (alone | ((F.col("call") == F.col("keep_call")) & (F.col("row") == F.col("keep_row")))).alias("kept"),
         )
-        return out.unionByName(self._by_text(docs, clash, row)) if clashes else out
+        return out.unionByName(self._by_text(docs, clash)) if clashes else out
+
+    def kept_rows(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs``, which are those that were taken in, that stay: with all their columns.
+
+        Most are told by digest, doc_id and length. Where several rows of a text are alike in these, or
+        digests clash, one row is taken from those of each text, first inside tasks."""
+        groups = stored(self.state().where("group_size > 1").select("digest", "group_size", "keep_id", "keep_points"), "groups")
+        n_groups = groups.count()
+        as_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+        repeated = self._grouped(self.entries(), groups, n_groups).where(as_kept).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        special = stored(repeated.union(self._clashes(docs, groups, n_groups)).distinct(), "special")
+        names = {c: unused(docs, f"_{c}") for c in ("digest", "group_size", "keep_id", "keep_points")}
+        digest = names["digest"]
+        rows, text = docs.withColumn(digest, self.digest(normalised(text_or_empty()))), text_or_empty()
+        told = groups.join(special, "digest", "left_anti").withColumnsRenamed(names)
+        stays = F.col(names["group_size"]).isNull() | (F.col("doc_id").cast("long").eqNullSafe(F.col(names["keep_id"])) & (F.char_length(text) == F.col(names["keep_points"])))
+        several = special.withColumnRenamed("digest", digest)
+        n_special = special.count()
+        several = F.broadcast(several) if n_special <= BROADCAST_GROUPS else several
+        plain = rows.join(several, digest, "left_anti") if n_special else rows
+        if n_groups <= BROADCAST_GROUPS:
+            out = plain.join(F.broadcast(told), digest, "left").where(stays).select(*docs.columns)
+        else:
+            # Only rows that may have copies are shuffled, and none of a heavy group.
+            short = groups.select(F.xxhash64("digest").alias("_short"))
+            short = F.broadcast(short) if n_groups <= BROADCAST_DIGESTS else short
+            among = F.xxhash64(digest) == F.col("_short")
+            heavy = F.col(names["group_size"]) > HEAVY * self.entries().count()
+            hits = plain.join(short, among, "left_semi").join(F.broadcast(told.where(heavy)), digest, "left")
+            light = hits.where(F.col(names["group_size"]).isNull()).select(*rows.columns).join(told.where(~heavy), digest, "left")
+            out = plain.join(short, among, "left_anti").select(*docs.columns)
+            out = out.unionByName(hits.where(F.col(names["group_size"]).isNotNull() & stays).select(*docs.columns)).unionByName(light.where(stays).select(*docs.columns))
+        if not n_special:
+            return out
+        order = F.struct(-F.char_length(text), F.col("doc_id").isNull(), F.col("doc_id").cast("long"))
+        own = rows.join(several, digest, "left_semi").groupBy(digest, normalised(text).alias("plain")).agg(F.min_by(F.struct(*docs.columns), order).alias("kept"))
+        return out.unionByName(own.select("kept.*"))
 
     def _clashes(self, docs: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
         """Digests (few, if any) that different texts have."""
@@ -139,16 +176,16 @@ class ExactDedup:
         light = many.where("group_size IS NULL").select(*entries.columns).join(groups, "digest", "left")
         return many.where("group_size IS NOT NULL").unionByName(light)
 
-    def _by_text(self, docs: DataFrame, clash: DataFrame, row: str | None) -> DataFrame:
+    def _by_text(self, docs: DataFrame, clash: DataFrame) -> DataFrame:
         """The decisions for digests that different texts share."""
-        text, number = text_or_empty(), F.col(row).cast("long") if row else F.lit(None).cast("long")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), normalised(text).alias("plain"), number.alias("row"))
+        text = text_or_empty()
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), normalised(text).alias("plain"))
         rows = stored(rows.withColumn("digest", self.digest(F.col("plain"))).join(clash, "digest", "left_semi"), "clashing")
         among = Window.partitionBy("digest", "plain")
-        order = among.orderBy(-F.col("n_points"), F.asc_nulls_last("doc_id"), "row")
+        order = among.orderBy(-F.col("n_points"), F.asc_nulls_last("doc_id"))
         return rows.select(
             "doc_id", "digest", F.first("doc_id").over(order).alias("keep_id"), F.count(F.lit(1)).over(among).alias("group_size"),
-            (F.row_number().over(order) == 1).alias("kept"), "row",
+            (F.row_number().over(order) == 1).alias("kept"),
         )
 
 
@@ -161,13 +198,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 
 def without_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. They are numbered and written first, so
-    that what goes are rows, not ids or texts."""
-    row, lost_row = unused(docs, "_row"), unused(docs, "_lost")
-    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    """The rows of ``docs`` that stay, with all their columns."""
     dedup = ExactDedup(docs.sparkSession, digest=digest)
-    dedup.add(docs, row)
-    lost = stored(dedup.decide(docs, row).where("NOT kept").select(F.col("row").alias(lost_row)), "lost")
-    if lost.count() <= BROADCAST_LOST:
-        lost = F.broadcast(lost)
-    return docs.join(lost, F.col(row) == F.col(lost_row), "left_anti").drop(row)
+    dedup.add(docs)
+    return dedup.kept_rows(docs)

@@ -79,7 +79,8 @@ def near_pairs(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFram
     seekers = fps.select(F.col("fp").alias("a"), F.explode(F.array(*probes)).alias("at")).select("a", "at.*")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") > F.col("b"))
     owners = owners.withColumnsRenamed({"segment": "s", "value": "v"})
-    return seekers.join(owners, (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & near).select("a", "b").distinct()
+    # Merged even where one side is small enough for a broadcast: rows of the table come apart in the join.
+    return seekers.join(owners.hint("merge"), (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & near).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:

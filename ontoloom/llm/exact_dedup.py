@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_folder, settings, stored, text_or_empty, unused
+from .shared import BATCHES, new_folder, settings, stored, text_or_empty, unused
 
 #: Duplicated digests up to which 8 bytes of each are broadcast to find the rows that have them.
 BROADCAST_DIGESTS = 2_000_000
@@ -42,7 +42,7 @@ _ENTRY = "row long, call string, doc_id long, n_points int, digest binary"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # Many small stores: without this each one reserves megabytes of disk for its log.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -74,7 +74,8 @@ class ExactDedup:
         """Take in documents (doc_id, text) and bring the state up to date."""
         text = text_or_empty()
         entries = docs.select(F.monotonically_increasing_id().alias("row"), F.lit(uuid.uuid4().hex).alias("call"), F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), self.digest(normalised(text)).alias("digest"))
-        entries.write.mode("append").parquet(f"{self.folder}/entries")
+        with settings(self.spark, BATCHES):
+            entries.write.mode("append").parquet(f"{self.folder}/entries")
         rows = self.spark.read.parquet(f"{self.folder}/entries").count()
         most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # A state that is there already keeps its number of partitions.

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, stored_arrow
+from .shared import sliced, stored
 from .tokens import byte_bpe
 
 
@@ -115,7 +115,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "place"])
 
-    pieces = stored_arrow(
+    pieces = stored(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
             cut, "doc_id long, piece int, start long, length long, ids_crc32 long, block int, place long"
         ),

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder, shared_dir, stored
+from ..sources.shared import new_folder, shared_dir
+from ..sources.shared import stored as write
 
-__all__ = ["lower_ascii", "new_folder", "settings", "shared_dir", "sliced", "stored", "stored_arrow", "text_key", "text_or_empty", "unused", "without_texts"]
+__all__ = ["lower_ascii", "new_folder", "settings", "shared_dir", "sliced", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,11 +43,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def stored_arrow(df: DataFrame, name: str) -> DataFrame:
-    """``stored``, for plans with Python in them: whole texts go there 1,000 at a time, as both sides
-    hold a batch."""
-    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
-        return stored(df, name)
+#: Rows of whole texts that a reader, and a worker's batch, hold at a time: the usual thousands are
+#: arrays of tens of megabytes in each task.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (see ``sources.shared``), in small batches."""
+    with settings(df.sparkSession, BATCHES):
+        return write(df, name)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -29,13 +29,15 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, stored_arrow, text_key, text_or_empty, without_texts
+from .shared import sliced, stored, text_key, text_or_empty, without_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: The value that a likelihood ratio with one degree of freedom passes by chance once in a thousand.
@@ -43,21 +45,12 @@ CHANCE = 10.83
 #: Examples in a block of the index, queries in a batch, and the share of the examples above which a
 #: word is a row of the matrix (so there are at most 16 times as many rows as an example has words).
 _BLOCK, _BATCH, _SHARE = 64, 64, 1 / 16
-#: Parts of texts that a worker remembers.
-_HELD = 50_000
 _EVIDENCE = "array<struct<doc_id long, label int, cosine double>>"
 
 
 def words_of(text: str) -> Counter:
     """The runs of letters of a text in lower case, and how often each occurs."""
-    out: Counter[str] = Counter()
-    for part, n in Counter(text.lower().split()).items():  # white space is no letter
-        if part.isalpha():
-            out[part] += n
-        else:
-            for w in _WORD.findall(part):
-                out[w] += n
-    return out
+    return Counter(_WORD.findall(text.lower()))
 
 
 def likelihood_ratio(with_word: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
@@ -72,31 +65,21 @@ def likelihood_ratio(with_word: np.ndarray, sizes: tuple[int, int]) -> np.ndarra
 
 
 class Numbers:
-    """The known words of texts, as numbers. What is between white space and not letters alone is cut
-    once and remembered (up to ``_HELD`` of it, then anew)."""
+    """The known words of texts, as their places in ``words``."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: pa.Array):
         self.words = words
-        self._mixed: dict[str, list[int]] = {}
-
-    def _cut(self, part: str) -> list[int]:
-        if len(self._mixed) >= _HELD:
-            self._mixed.clear()
-        found = self._mixed[part] = [self.words[w] for w in _WORD.findall(part) if w in self.words]
-        return found
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(words, times) of a whole text."""
-        found: list[int] = []
-        get, mixed, add = self.words.get, self._mixed.get, found.append
-        for part in text.lower().split():
-            if part.isalpha():
-                if (i := get(part)) is not None:
-                    add(i)
-            else:
-                own = mixed(part)
-                found += self._cut(part) if own is None else own
-        return np.unique(np.array(found, np.int64), return_counts=True)
+
+    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words, times) of each whole text; texts are looked up together."""
+        parts = [_WORD.findall(t.lower()) for t in texts]
+        place = pc.index_in(pa.array(list(chain.from_iterable(parts)), pa.string()), value_set=self.words).fill_null(-1).to_numpy()
+        text = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        n, known = max(1, len(self.words)), place >= 0
+        both, times = np.unique(text[known] * n + place[known].astype(np.int64), return_counts=True)
+        text, word = np.divmod(both, n)
+        edges = np.searchsorted(text, np.arange(1, len(texts)))
+        return list(zip(np.split(word, edges), np.split(times, edges)))
 
 
 def _runs(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -189,9 +172,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     """What is learnt: of each example its text_key, doc_id, label, words and how often they occur; the
-    numbers of all their words in order, and how many of ``n_docs`` documents have each."""
+    words of all in order, and how many of ``n_docs`` documents have each."""
 
-    def __init__(self, keys: list[bytes], doc_ids: list, toxic: np.ndarray, seen: list[np.ndarray], times: list[np.ndarray], words: dict[str, int], df: np.ndarray, n_docs: int, k: int):
+    def __init__(self, keys: list[bytes], doc_ids: list, toxic: np.ndarray, seen: list[np.ndarray], times: list[np.ndarray], words: pa.Array, df: np.ndarray, n_docs: int, k: int):
         self.words, n = words, len(words)
         self.prior = (toxic.sum() + 0.5) / (len(toxic) + 1)
         sizes = (int((~toxic).sum()), int(toxic.sum()))
@@ -229,7 +212,7 @@ class Model:
         if not self.own:
             yield from ((0.5, []) for _ in texts)
             return
-        found = [numbers.of(t) for t in texts]
+        found = numbers.of(texts)
         queries = [self._weighted(words, times) for words, times in found]
         own = [self.own.get(hashlib.sha256(t.encode("utf-8", "replace")).digest(), -1) for t in texts]
         for (words, _), (near, cosines) in zip(found, self.index.nearest(queries, own)):
@@ -242,8 +225,8 @@ class Model:
             yield vote, [{"doc_id": self.doc_id[e], "label": int(self.label[e]), "cosine": float(c)} for e, c in zip(near[:3], cosines[:3])]
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list, list, np.ndarray, list, list, dict[str, int]]:
-    """The sample, as ``Model`` takes it, and the numbers of its words: at most ``max_examples`` texts'
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list, list, np.ndarray, list, list, pa.Array]:
+    """The sample, as ``Model`` takes it, and its words: at most ``max_examples`` texts'
     words go to the driver."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
@@ -269,10 +252,10 @@ def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[li
     edges = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))[:-1] if len(words) else []
     seen, often = np.split(number[coded.indices.to_numpy(zero_copy_only=False)], edges), np.split(times.flatten().to_numpy(), edges)
     seen, often = (seen, often) if len(words) else ([], [])
-    return keys.to_pylist(), doc_ids.to_pylist(), toxic.to_numpy(zero_copy_only=False) >= 0.5, seen, often, {names[i]: n for n, i in enumerate(order)}
+    return keys.to_pylist(), doc_ids.to_pylist(), toxic.to_numpy(zero_copy_only=False) >= 0.5, seen, often, pa.array([names[i] for i in order], pa.string())
 
 
-def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, words: pa.Array) -> tuple[np.ndarray, int]:
     """How many documents have each of ``words``, and how many documents there are."""
     spark, n = docs.sparkSession, len(words)
     shared = spark.sparkContext.broadcast(words)
@@ -281,16 +264,15 @@ def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nd
         numbers, seen, rows = Numbers(shared.value), np.zeros(n + 1, np.int64), 0
         for batch in sliced(batches):
             rows += batch.num_rows
-            found = [numbers.of(t)[0] for t in batch.column(0).to_pylist() if t]
-            if found:
-                seen += np.bincount(np.concatenate(found), minlength=n + 1)
+            found = [w for w, _ in numbers.of([t for t in batch.column(0).to_pylist() if t])]
+            seen += np.bincount(np.concatenate(found), minlength=n + 1)
         seen[n] = rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
 
     # Every task sends one row for each word it has met.
     counts = docs.select(F.col("text").cast("string")).mapInArrow(tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored_arrow(counts, "document-frequencies").toArrow()
+    counts = stored(counts, "document-frequencies").toArrow()
     shared.destroy()
     out = np.zeros(n + 1, np.int64)
     out[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
@@ -300,7 +282,7 @@ def _document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nd
 def _scored(docs: DataFrame, labels: DataFrame, row: Column, kind: str, max_examples: int, k: int) -> DataFrame:
     """``row`` (of type ``kind``), score and evidence of every row."""
     *examples, words = _examples(docs, labels, max_examples)
-    df, n_docs = _document_frequencies(docs, words) if words else (np.zeros(0, np.int64), 0)
+    df, n_docs = _document_frequencies(docs, words) if len(words) else (np.zeros(0, np.int64), 0)
     shared = docs.sparkSession.sparkContext.broadcast(Model(*examples, words, df, n_docs, k))
     del examples, words
     told = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -313,7 +295,7 @@ def _scored(docs: DataFrame, labels: DataFrame, row: Column, kind: str, max_exam
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], told)], names=["row", "score", "evidence"])
 
     rows = docs.select(row.cast(kind).alias("row"), F.col("text").cast("string"))
-    out = stored_arrow(rows.mapInArrow(score, f"row {kind}, score double, evidence {_EVIDENCE}"), "scores")
+    out = stored(rows.mapInArrow(score, f"row {kind}, score double, evidence {_EVIDENCE}"), "scores")
     shared.destroy()
     return out
 

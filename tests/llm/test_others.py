@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ontoloom.llm.chat import format_conversations, read_back, text_under
@@ -209,13 +210,15 @@ def test_index_is_exact():
 def test_numbers_are_the_words():
     rng = random.Random(12)
     words = {w: i for i, w in enumerate(["vile", "nasty", "éa", "ab", "日本"])}
-    numbers = Numbers(words)
+    numbers, texts = Numbers(pa.array(list(words))), []
     for _ in range(300):
         text = "".join(rng.choice(["vile", "NAST", "y", "éa", "ab", " ", "\n", "1", "_", "-", "²", "日本"]) for _ in range(rng.randint(0, 12)))
+        texts.append(text)
+    for text, (found, times) in zip(texts, numbers.of(texts)):
         plain = Counter(re.findall(r"[^\W\d_]+", text.lower()))
         assert words_of(text) == plain
-        found, times = numbers.of(text)
         assert dict(zip(found.tolist(), times.tolist())) == {words[w]: n for w, n in plain.items() if w in words}
+    assert numbers.of(["", "?"])[1][0].tolist() == [] and Numbers(pa.array([], pa.string())).of(["vile"])[0][0].tolist() == []
 
 
 def test_isotonic():

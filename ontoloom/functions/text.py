@@ -39,8 +39,20 @@ def normalize_unicode(text: pd.Series) -> pd.Series:
 
 
 def normalized(text: Column) -> Column:
-    """``normalize_phrase`` for ASCII, which needs no Python, else ``normalize_unicode``."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), normalize_phrase(text)).otherwise(normalize_unicode(text))
+    """``normalize_phrase`` for ASCII, else ``normalize_unicode``: only other texts go to Python."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, normalize_phrase(text)).otherwise(normalize_unicode(F.when(~plain, text)))
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def normalize_words(words: pd.Series) -> pd.Series:
+    """``normalize_unicode`` of each word of a list; null lists stay null."""
+
+    def one(t: str) -> str:
+        folded = unicodedata.normalize("NFKC", t).casefold()
+        return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
+
+    return words.map(lambda own: None if own is None else [one(w) for w in own])
 
 
 def collapse_space(text: Column) -> Column:
@@ -115,19 +127,18 @@ def _spans(pattern: str, strip: bool):
     return spans
 
 
-#: Words with code-point offsets; an apostrophe inside a word belongs to it.
+#: A word; an apostrophe inside it belongs to it. The classes are those of Python's \\w.
+TOKEN = r"[\p{L}\p{N}_]+(?:[’'][\p{L}\p{N}_]+)?"
+#: Words with code-point offsets.
 token_spans = _spans(r"\w+(?:[’']\w+)?", strip=False)
 #: Trimmed sentences with offsets; ids are those of the untrimmed pieces, so blanks leave gaps.
 sentence_spans = _spans(r"[^\n.!?]+(?:[.!?]+|(?=\n)|$)", strip=True)
 
 
 def is_valid_text(text: Column) -> Column:
-    """No replacement character, no NUL and none of the marks that wrongly decoded text leaves."""
-    marks = ["�", "\x00", "Ã", "Â", "â€", "ðŸ", "ï¿½", "Ð", "Ñ", "ì"]
-    bad = text.contains(marks[0])
-    for m in marks[1:7]:
-        bad = bad | text.contains(m)
-    return ~bad
+    """No replacement character, no NUL and none of MOJIBAKE; valid UTF-8."""
+    bad = reduce(or_, (text.contains(m) for m in ("\ufffd", "\x00", *MOJIBAKE)))
+    return ~bad & F.is_valid_utf8(text)
 
 
 def short_error(message: Column) -> Column:

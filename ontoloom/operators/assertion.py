@@ -20,6 +20,7 @@ AFTER = {
     "normal": r"(?i)^\s*(?:was|were|is|are|appears?|remains?)?\s*(?:normal|unremarkable|within normal limits|intact)\b",
     "resolved": r"(?i)^\s*(?:has|have|had|was|were|is|are)?\s*(?:resolved|no longer present)\b",
 }
+CONTEXT = r"it|this|these|those|they|former|latter|respectively|however|therefore|subsequently|also|both"
 _NEW_SUBJECT = (
     r"\band\b(?=\s+(?:(?:the|a|an|his|her|their|this)\s+)?(?:(?:abdominal|chest|cranial|cardiac|renal|thyroid|pelvic)\s+)?"
     r"(?:patient|proband|child|adult|examination|exam|imaging|ct|mri|ultrasound|sonography|radiograph|x-ray|scan|biopsy|"
@@ -30,17 +31,22 @@ _CLAUSE = rf"(?is)^.*(?:[,;:]|\bbut\b|\bhowever\b|\balthough\b|{_NEW_SUBJECT})"
 _HEADING = r"(?m)^[ \t]*([A-Za-z][A-Za-z /_-]{1,48}):[ \t]*$"
 
 
+def section_at(text: Column, start: Column) -> Column:
+    """The last heading (a line that ends with a colon) before ``start``; null if there is none."""
+    head = F.substring(text, F.lit(1), start)
+    return F.trim(F.try_element_at(F.regexp_extract_all(head, F.lit(_HEADING), F.lit(1)), F.lit(-1)))
+
+
 def with_assertion(rows: DataFrame, text: str = "text", start: str = "start", stop: str = "stop") -> DataFrame:
     """Adds status, cue, sentence and section. Offsets are half-open, in code points."""
     head = F.substring(F.col(text), F.lit(1), F.col(start))
     tail = F.substring(F.col(text), F.col(stop) + 1, F.length(text))
     mention = F.substring(F.col(text), F.col(start) + 1, F.col(stop) - F.col(start))
-    left = F.regexp_replace(F.regexp_extract(head, r"([^\n.!?;]*)$", 1), r"^\s+", "")
-    right = F.regexp_replace(F.regexp_extract(tail, r"^([^\n.!?;]*)", 1), r"\s+$", "")
+    left = F.regexp_replace(F.regexp_extract(head, r"([^\n.!?;]*+)\z", 1), r"^(?U)\s+", "")
+    right = F.regexp_replace(F.regexp_extract(tail, r"^([^\n.!?;]*)", 1), r"(?U)\s+\z", "")
     clause = F.regexp_replace(left, _CLAUSE, "")
     before = F.substring(clause, F.greatest(F.lit(1), F.length(clause) - 119), F.lit(120))
-    section = F.trim(F.try_element_at(F.regexp_extract_all(head, F.lit(_HEADING), F.lit(1)), F.lit(-1)))
-    rows = rows.withColumns({"_before": before, "_mention": mention, "_after": F.substring(right, 1, 80), "section": section, "sentence": F.trim(F.concat(left, mention, right))})
+    rows = rows.withColumns({"_before": before, "_mention": mention, "_after": F.substring(right, 1, 80), "section": section_at(F.col(text), F.col(start)), "sentence": F.trim(F.concat(left, mention, right))})
 
     def last(pattern: str, where: str) -> Column:
         return F.try_element_at(F.regexp_extract_all(where, F.lit(rf"(?i)\b(?:{pattern})\b"), F.lit(0)), F.lit(-1))
@@ -62,7 +68,7 @@ def routing_category(status: Column, phrase: Column) -> Column:
 
 def context_reason(sentence: Column, phrase_words: Column, n_candidates: Column, dense_gap: Column, lexical_gap: Column, status: Column) -> Column:
     """Why a mention needs its neighbour sentences; null if it doesn't."""
-    cue = sentence.rlike(r"(?i)\b(?:it|this|these|those|they|former|latter|respectively|however|therefore|subsequently|also|both)\b")
+    cue = sentence.rlike(rf"(?i)\b(?:{CONTEXT})\b")
     return (
         F.when(cue, "context-cue")
         .when((phrase_words <= 2) & (n_candidates > 1), "short-ambiguous-phrase")

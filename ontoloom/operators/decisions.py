@@ -92,10 +92,89 @@ def in_scope(chosen: Column, candidates: Column) -> Column:
     return F.struct(F.array_intersect(chosen, candidates).alias("kept"), F.array_except(chosen, candidates).alias("dropped"))
 
 
-def apply_calibration(rows: DataFrame, strata: DataFrame, accepted: list[str], overall: float) -> DataFrame:
-    """The stratum's probability, or the overall one; accepted where the stratum is listed."""
-    found = rows.join(strata.select("stratum", "probability"), "stratum", "left")
-    return found.withColumns({"probability": F.coalesce("probability", F.lit(overall)), "review_status": F.when(F.col("stratum").isin(accepted), "accepted").otherwise("review")})
+def evidence_stratum(methods: Column, verdict: Column, confidence: Column, category_confidence: Column, status: Column, n_candidates: Column) -> Column:
+    """What a mapping rests on: its lane, verdict, confidences, assertion and number of candidates."""
+    model = F.exists(methods, lambda m: m.startswith("model-pass"))
+    recognised = F.arrays_overlap(methods, F.lit(["native", "fasthpocr"]))
+    lane = (
+        F.when(model & recognised, "model+recognizer").when(F.array_contains(methods, "model-pass-1"), "model-pass-1")
+        .when(F.array_contains(methods, "model-pass-2"), "model-pass-2").when(recognised, "recognizer").otherwise("other")
+    )
+    parts = [F.coalesce(F.nullif(c, F.lit("")), F.lit("none")) for c in (verdict, confidence, category_confidence, status)]
+    return F.concat_ws("|", lane, *parts, F.concat(F.lit("set-"), n_candidates.cast("string")))
+
+
+def check_calibration(manifest: dict, pipeline: str, prompts_sha256: str, artifacts_sha256: str) -> None:
+    """A calibration is for one pipeline, prompt bundle and artifact manifest: any other is an error."""
+    for key, want in (("pipeline_schema_version", pipeline), ("prompt_bundle_sha256", prompts_sha256), ("artifact_manifest_sha256", artifacts_sha256)):
+        if manifest.get(key) != want:
+            raise ValueError(f"the calibration is for another {key}")
+
+
+def apply_calibration(rows: DataFrame, strata: DataFrame, accepted: list[str], overall: float, identity: str = "") -> DataFrame:
+    """From rows with category, mapping_status, review_status, candidate_hpo_ids and stratum: abnormal
+    mapped ones with candidates get their stratum's probability, or the overall one, and are accepted
+    where the stratum is listed, else up for review. Others are left as they are."""
+    found = rows.join(strata.select("stratum", F.col("probability").alias("_probability")), "stratum", "left")
+    use = F.coalesce((F.col("category") == "Abnormal") & (F.col("mapping_status") == "mapped") & (F.size("candidate_hpo_ids") > 0), F.lit(False))
+    old = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    return found.withColumns({
+        "overall_confidence": F.when(use, F.coalesce("_probability", F.lit(overall))).otherwise(old("overall_confidence", "double")),
+        "confidence_basis": F.when(use, F.lit(f"held-out-calibration:{identity}")).otherwise(old("confidence_basis", "string")),
+        "review_status": F.when(use, F.when(F.col("stratum").isin(accepted), "accepted").otherwise("review")).otherwise(F.col("review_status")),
+    }).drop("_probability")
+
+
+def policies(review: Column, confidence: Column, methods: Column) -> dict[str, Column]:
+    """The named policies over mapped rows: which rows each keeps."""
+    accepted, has = review == "accepted", lambda m: F.array_contains(methods, m)
+    model = F.exists(methods, lambda m: m.startswith("model-pass"))
+    some, both = F.arrays_overlap(methods, F.lit(["native", "fasthpocr"])), has("native") & has("fasthpocr")
+    return {
+        "accepted": accepted,
+        "accepted_high": accepted & (confidence == "high"),
+        "accepted_model": accepted & model,
+        "accepted_model_pass1": accepted & has("model-pass-1"),
+        "accepted_model_pass2": accepted & has("model-pass-2"),
+        "accepted_model_recognizer_agreement": accepted & model & some,
+        "accepted_pass1_plus_model_recognizer_agreement": accepted & (has("model-pass-1") | (model & some)),
+        "accepted_pass1_plus_dual_recognizer": accepted & (has("model-pass-1") | both),
+        "accepted_plus_high_review": accepted | ((review == "review") & (confidence == "high")),
+        "all_mapped": F.lit(True),
+        "all_mapped_model": model,
+        "all_mapped_model_pass1": has("model-pass-1"),
+    }
+
+
+def replayable(category: Column, candidates: Column, methods: Column) -> Column:
+    """Rows worth mapping anew: abnormal, with candidates, from the first pass or both recognisers."""
+    both = F.array_contains(methods, "native") & F.array_contains(methods, "fasthpocr")
+    return F.coalesce((category == "Abnormal") & (F.size(candidates) > 0) & (F.array_contains(methods, "model-pass-1") | both), F.lit(False))
+
+
+def verified(decision: Column, candidates: Column, verdict: Column, confidence: Column, selected: Column) -> Column:
+    """(status, reason, selected_id) of an abstained decision (status, reason) after a verifier's answer.
+    Only a confident selection accepts; an id outside the candidates, or one beside another verdict, is
+    an error; decisions without an answer stay."""
+    wrong = ((verdict == "select") & ~F.coalesce(F.array_contains(candidates, selected), F.lit(False))) | ((verdict != "select") & selected.isNotNull())
+    sure = (verdict == "select") & (confidence == "high")
+    none = F.lit(None).cast("string")
+    out = F.when(verdict.isNull(), F.struct(decision["status"].alias("status"), decision["reason"].alias("reason"), none.alias("selected_id")))
+    out = out.when(wrong, F.raise_error(F.lit("the verifier's answer is outside its question")).cast("struct<status:string,reason:string,selected_id:string>"))
+    out = out.when(sure, F.struct(F.lit("accepted_verified").alias("status"), F.lit("model_verified_high_confidence").alias("reason"), selected.alias("selected_id")))
+    return out.otherwise(F.struct(decision["status"].alias("status"), F.concat_ws("_", F.lit("model"), verdict, confidence).alias("reason"), none.alias("selected_id")))
+
+
+def before_categories(rows: DataFrame) -> DataFrame:
+    """Rows whose final category failed, as they were before it, to be decided anew; others stay."""
+    failed = F.coalesce(F.col("error_code") == "incomplete_final_category", F.lit(False))
+    fits = (F.col("mapping_status") == "mapped") & (F.size("candidate_hpo_ids") > 0) & F.col("mapping_verdict").isin("supported", "ambiguous") & F.col("confidence").isin("high", "medium")
+    rejected = (F.col("mapping_verdict") == "unsupported") & (F.col("confidence") == "high")
+    was = F.when(F.col("assertion_status") != "affirmed", "review").when(fits, "accepted").when(rejected, "rejected").otherwise("review")
+    return rows.withColumns({
+        "review_status": F.when(failed, was).otherwise(F.col("review_status")),
+        **{c: F.when(~failed, F.col(c)) for c in ("category", "category_confidence", "error_code", "error_message") if c in rows.columns},
+    })
 
 
 def walk_acceptance(candidates: DataFrame, budget: int = 500, enough: int = 15, most: int = 20, floor: float = 0.35) -> DataFrame:

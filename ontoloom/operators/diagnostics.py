@@ -121,3 +121,28 @@ def final_category(rows: DataFrame, decisions: DataFrame, key: str = "mention_id
         "error_code": F.when(open_ & ~found, "incomplete_final_category"),
         "category": F.when(open_, F.coalesce("_category", F.lit("Abnormal"))).otherwise(F.col("category")),
     }).drop("_n", "_category", "_confidence")
+
+
+def fingerprint(hashes: DataFrame, digits: int = 2) -> DataFrame:
+    """One row (rows, fingerprint) for a column ``h`` of hexadecimal digests in any order: digests are
+    sorted and hashed by their first ``digits``, then those hashes in order. Take more digits for more
+    rows, so that a part stays a short list."""
+    parts = hashes.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n")
+    return parts.agg(F.sum("n").alias("rows"), F.sha2(all_, 256).alias("fingerprint"))
+
+
+def metric_shift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Of two tables of cases (tp, fp, fn) how much the sums differ, and the predicted positives."""
+    sums = lambda df, n: df.agg(*[F.sum(c).alias(f"{n}_{c}") for c in ("tp", "fp", "fn")])
+    rows = sums(old, "old").crossJoin(sums(new, "new"))
+    less = {c: F.col(f"new_{c}") - F.col(f"old_{c}") for c in ("tp", "fp", "fn")}
+    return rows.select((less["tp"] + less["fp"]).alias("predicted_positive"), *[d.alias(c) for c, d in less.items()])
+
+
+def paired(first: DataFrame, second: DataFrame, value: str = "f1", case: str = "case_id") -> DataFrame:
+    """(case, first, second, d) of two runs over the same cases; a case that one lacks is an error."""
+    both = first.select(case, F.col(value).alias("first")).join(second.select(case, F.col(value).alias("second")), case, "full")
+    missing = F.col("first").isNull() | F.col("second").isNull()
+    d = F.when(missing, F.raise_error(F.concat(F.lit("one run lacks case "), F.col(case).cast("string"))).cast("double")).otherwise(F.col("second") - F.col("first"))
+    return both.withColumn("d", d)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_phrase, signature, stem, token_spans, tokens
+from ..functions.text import TOKEN, normalize_phrase, normalize_words, normalized, signature, stem, tokens
+
+#: Slots of the tables of a lexicon's words that texts are looked up in first: a byte each.
+_SLOTS = 1 << 17
 
 #: Words that are no finding by themselves.
 SINGLE_WORDS = (
@@ -22,7 +28,7 @@ def excluded(words: Column) -> Column:
 
 def lexicon(phrases: DataFrame, most: int = 12) -> DataFrame:
     """From (concept_id, phrase, record_key): (key, n_tokens, ids, record_keys), usable phrases."""
-    rows = phrases.withColumn("words", tokens(normalize_phrase(F.col("phrase"))))
+    rows = phrases.withColumn("words", tokens(normalized(F.col("phrase"))))
     rows = rows.where(F.size("words").between(1, most) & ~excluded(F.col("words")))
     return rows.groupBy(F.array_join("words", " ").alias("key"), F.size("words").alias("n_tokens")).agg(
         F.array_sort(F.collect_set("concept_id")).alias("ids"), F.array_sort(F.collect_set("record_key")).alias("record_keys")
@@ -35,34 +41,92 @@ def morphological_lexicon(exact: DataFrame, most: int = 8) -> DataFrame:
     return rows.groupBy("signature", "n_tokens").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def spans(notes: DataFrame, lengths: list[int], stems: bool = False) -> DataFrame:
-    """(note_id, key, signature, n_tokens, start, stop) of every run of words of the given lengths.
-    Words are normalised and stemmed once each, before runs are made of them."""
-    rows = notes.select("note_id", token_spans("text").alias("t"))
-    rows = rows.select("note_id", "t", F.transform("t", lambda t: F.lower(t["text"])).alias("w"))
-    # Only words with marks in them need the pattern; such a word normalises to several, or none.
-    rows = rows.withColumn("w", F.transform("w", lambda w: F.when(w.rlike(r"[^\p{L}\p{N}]"), normalize_phrase(w)).otherwise(w)))
-    rows = rows.withColumn("s", F.transform("w", stem) if stems else F.col("w"))
+@lru_cache(maxsize=1)
+def _foldable() -> str:
+    """Pattern of the characters that lower-casing may leave apart from their compatibility form: Latin
+    ones by the Unicode tables, and all letters, numbers and marks from U+0250 on. Words of texts with
+    one are normalised in Python."""
+    odd = [c for c in range(128, 0x250) if unicodedata.normalize("NFKC", chr(c)).casefold() != chr(c).lower()]
+    return "[" + "".join(rf"\x{{{c:x}}}" for c in odd) + r"]|[\x{250}-\x{10FFFF}&&[\p{L}\p{N}\p{M}]]"
+
+
+def _slots(words: DataFrame) -> bytes:
+    """A byte for each slot of the hashes of ``words`` (one column): _SLOTS numbers at most are
+    collected, whatever the number of words."""
+    out = bytearray(_SLOTS)
+    for r in words.select(F.pmod(F.xxhash64(words.columns[0]), F.lit(_SLOTS)).cast("int").alias("s")).distinct().collect():
+        out[r.s] = 1
+    return bytes(out)
+
+
+def _known(word: Column, slots: bytes) -> Column:
+    return F.substring(F.lit(slots), F.pmod(F.xxhash64(word), F.lit(_SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+
+
+def _once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``rows`` with note_id and ``columns``, computed once a row: projections one after another would be
+    merged, and then an array be made anew for every element that a lambda looks at."""
+    return rows.select("note_id", F.explode(F.array(F.struct(*columns))).alias("_x")).select("note_id", "_x.*")
+
+
+def spans(notes: DataFrame, lengths: list[int], words: bytes, stems: bytes | None = None) -> DataFrame:
+    """(note_id, key, signature, n_tokens, start, stop) of the runs of words, of the given lengths, that
+    have only words whose slot is set in ``words`` or, where ``stems`` are given, stems in ``stems``.
+
+    Words are cut, normalised and looked up where they are; what is exploded are the few runs left. The
+    place of a run in the text comes from the lengths of the words and gaps before it, summed up in
+    steps of 64 words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _once(notes, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("t"), F.split(text, TOKEN, -1).alias("gaps"), text.rlike(_foldable()).alias("odd"))
+    # Lower case is the normal form but of texts with foldable characters: only their words go to Python.
+    rows = rows.withColumn("folded", normalize_words(F.when(F.col("odd"), F.col("t"))))
+    plain = F.transform("t", lambda w: F.when(w.rlike(r"[’'_]"), normalize_phrase(w)).otherwise(F.lower(w)))
+    rows = _once(rows, "t", "gaps", F.coalesce("folded", plain).alias("w"))
+    # A word with marks inside may normalise to several or none; such a word is in no phrase.
+    one = lambda w: (w != "") & ~F.contains(w, F.lit(" "))
+    kept = ["t", "gaps", "w", "hit", "sizes"]
+    stemmed = [F.transform("w", lambda w: F.when(one(w), stem(w))).alias("s")] if stems is not None else []
+    sizes = F.zip_with("gaps", "t", lambda g, w: F.length(F.coalesce(g, F.lit(""))) + F.length(F.coalesce(w, F.lit(""))))
+    rows = _once(rows, "t", "gaps", "w", F.transform("w", lambda w: one(w) & _known(w, words)).alias("hit"), sizes.alias("sizes"), *stemmed)
+    like = ["s", F.transform("s", lambda s: F.coalesce(_known(s, stems), F.lit(False))).alias("like")] if stems is not None else []
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("t") / 64).cast("int")), lambda b: _sum(F.slice("sizes", b * 64 + 1, F.lit(64))))
+    rows = _once(rows, *kept, steps.alias("steps"), *like)
+    none = F.array().cast("array<int>")
+    may = lambda flags, i, n: F.forall(F.slice(flags, i, n), lambda x: x)
 
     def run(i: Column, n: Column) -> Column:
-        signed = F.array_join(F.array_sort(F.array_distinct(F.slice("s", i, n))), " ") if stems else F.lit("")
-        return F.struct(
-            F.array_join(F.slice("w", i, n), " ").alias("key"), signed.alias("signature"), n.alias("n_tokens"),
-            F.get("t", i - 1)["start"].alias("start"), F.get("t", i + n - 2)["stop"].alias("stop"),
-        )
+        step = F.floor((i - 1) / 64).cast("int")
+        before = _sum(F.slice("steps", F.lit(1), step)) + _sum(F.slice("sizes", step * 64 + 1, (i - 1) % 64))
+        start = before + F.length(F.get("gaps", i - 1))
+        stop = before + _sum(F.slice("sizes", i, n))
+        signed = F.array_join(F.array_sort(F.array_distinct(F.slice("s", i, n))), " ") if stems is not None else F.lit("")
+        return F.struct(F.array_join(F.slice("w", i, n), " ").alias("key"), signed.alias("signature"), n.alias("n_tokens"), start.alias("start"), stop.alias("stop"))
+
+    first = (lambda i: F.get("hit", i - 1) | F.get("like", i - 1)) if stems is not None else (lambda i: F.get("hit", i - 1))
+    at = F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(1), F.size("t")), first)).otherwise(none)
+    rows = _once(rows, *kept, "steps", *(["s", "like"] if stems is not None else []), at.alias("at")).where(F.size("at") > 0)
+
+    def of(n: Column) -> Column:
+        fits = lambda i: (i + n - 1 <= F.size("t")) & ((may("hit", i, n) | may("like", i, n)) if stems is not None else may("hit", i, n))
+        return F.transform(F.filter("at", fits), lambda i: run(i, n))
 
-    places = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(places(n), lambda i: run(i, n))))
-    rows = rows.select("note_id", F.explode(runs).alias("r")).select("note_id", "r.*")
-    return rows.where(F.size(F.split("key", " ")) == F.col("n_tokens"))
+    rows = rows.select("note_id", F.explode(F.flatten(F.transform(F.array(*map(F.lit, lengths)), of))).alias("r"))
+    return rows.select("note_id", "r.*")
 
 
 def mentions(notes: DataFrame, exact: DataFrame, morphological: DataFrame | None = None) -> DataFrame:
     """(note_id, start, stop, n_tokens, evidence, ids): exact hits, and hits by signature where a
-    span has no exact one. Lengths present in the lexicon go to the driver (at most 12). Both
-    lexicons are looked up from the exploded spans, so where they are small nothing is shuffled."""
+    span has no exact one. Lengths present in the lexicon go to the driver (at most 12), and the slots of
+    its words and stems. Lexicons are joined to the runs that are left, so where they are small nothing
+    is shuffled."""
     lengths = sorted(r[0] for r in exact.select("n_tokens").distinct().collect()) or [1]
-    found = spans(notes, lengths, stems=morphological is not None).join(exact.select("key", "n_tokens", "ids"), ["key", "n_tokens"], "left" if morphological is not None else "inner")
+    words = _slots(exact.select(F.explode(F.split("key", " ")).alias("w")))
+    stems = _slots(morphological.select(F.explode("signature").alias("s"))) if morphological is not None else None
+    found = spans(notes, lengths, words, stems).join(exact.select("key", "n_tokens", "ids"), ["key", "n_tokens"], "left" if morphological is not None else "inner")
     out = ["note_id", "start", "stop", "n_tokens"]
     if morphological is None:
         return found.select(*out, F.lit("exact").alias("evidence"), "ids")
@@ -72,14 +136,38 @@ def mentions(notes: DataFrame, exact: DataFrame, morphological: DataFrame | None
 
 
 def longest_nonoverlapping(found: DataFrame) -> DataFrame:
-    """Per note, greedily: more words first, then earlier, then exact; no two overlap."""
+    """Per note, greedily: more words first, then earlier, then exact; no two overlap. Mentions that
+    overlap, directly or through others, are a cluster; clusters are folded apart, so a note with very
+    many mentions is no long fold."""
+    so_far = Window.partitionBy("note_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    new = (F.col("start") >= F.coalesce(F.max("stop").over(so_far), F.lit(-1))).cast("int")
+    cluster = F.sum("new").over(Window.partitionBy("note_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("new", new).withColumn("cluster", cluster)
     one = F.struct((-F.col("n_tokens")).alias("less"), "start", (F.col("evidence") != "exact").alias("inexact"), "ids", "stop", "n_tokens", "evidence")
-    rows = found.groupBy("note_id").agg(F.array_sort(F.collect_set(one)).alias("all"))
+    rows = rows.groupBy("note_id", "cluster").agg(F.array_sort(F.collect_set(one)).alias("all"))
     apart = lambda kept, m: ~F.exists(kept, lambda k: (m["start"] < k["stop"]) & (m["stop"] > k["start"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, m: F.when(apart(kept, m), F.concat(kept, F.array(m))).otherwise(kept))
     return rows.select("note_id", F.explode(kept).alias("m")).select("note_id", "m.start", "m.stop", "m.n_tokens", "m.evidence", "m.ids")
 
 
+def head_variant(phrase: Column) -> Column:
+    """A phrase of several words that begins with one of SINGLE_WORDS, without all such words; null for
+    others, and where less than three letters are left."""
+    plain = lambda w: normalize_phrase(w).isin(SINGLE_WORDS)
+    words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
+    head = F.array_join(F.filter(words, lambda w: ~plain(w)), " ")
+    return F.when((F.size(words) > 1) & plain(F.get(words, 0)) & (F.length(head) >= 3), head)
+
+
+def probes(phrases: DataFrame, first: int = 256) -> DataFrame:
+    """From (concept_id, phrase): the ``first`` phrases in normalised order, and the normal form of every
+    phrase that several concepts have."""
+    rows = phrases.withColumn("normalized", normalized(F.col("phrase")))
+    head = rows.select("normalized", "phrase").distinct().orderBy("normalized", "phrase").limit(first).select("phrase")
+    several = rows.groupBy("normalized").agg(F.count_distinct("concept_id").alias("n")).where("n > 1").select(F.col("normalized").alias("phrase"))
+    return head.unionByName(several).distinct()
+
+
 def merge_mentions(found: DataFrame) -> DataFrame:
     """Mentions of one span and normalised phrase become one with the union of methods and ids."""
     return found.groupBy("note_id", "start", "stop", normalize_phrase(F.col("phrase")).alias("phrase")).agg(

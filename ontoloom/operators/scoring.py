@@ -98,6 +98,20 @@ def _matched(edges: pd.Series) -> pd.Series:
     return edges.map(one)
 
 
+_PAIR = T.StructType([T.StructField(n, T.IntegerType()) for n in ("left", "right")])
+
+
+@pandas_udf(T.ArrayType(_PAIR))
+def _matched_in_order(edges: pd.Series) -> pd.Series:
+    def one(rows) -> list[dict]:
+        by_left: dict[int, list[int]] = {}
+        for e in rows:
+            by_left.setdefault(e["left"], []).append(e["right"])
+        return [{"left": a, "right": b} for b, a in augmenting_matches(by_left).items()]
+
+    return edges.map(one)
+
+
 def match_edges(edges: DataFrame) -> DataFrame:
     """From (case_id, left, right and, if there are tiers, tier): the matched rows.
 
@@ -114,36 +128,78 @@ def match_edges(edges: DataFrame) -> DataFrame:
 
 def group_scores(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     """From (case_id, n, ids array) on both sides, one row for each finding: findings match when
-    their sets of alternatives meet, one to one, as many as can be."""
+    their sets of alternatives meet, one to one, as many as can be. Cases with references count."""
     p = predicted.select("case_id", F.col("n").alias("left"), F.explode("ids").alias("id"))
     r = reference.select("case_id", F.col("n").alias("right"), F.explode("ids").alias("id"))
     edges = p.join(r, ["case_id", "id"]).select("case_id", "left", "right").distinct()
     tp = match_edges(edges).groupBy("case_id").agg(F.count(F.lit(1)).alias("tp"))
     n_p = predicted.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_p"))
     n_r = reference.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_r"))
-    rows = n_p.join(n_r, "case_id", "full").join(tp, "case_id", "left").na.fill(0, ["n_p", "n_r", "tp"])
+    rows = n_r.join(n_p, "case_id", "left").join(tp, "case_id", "left").na.fill(0, ["n_p", "n_r", "tp"])
     rows = rows.select("case_id", "tp", (F.col("n_p") - F.col("tp")).alias("fp"), (F.col("n_r") - F.col("tp")).alias("fn"))
     return rows.withColumns(precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def layered_scores(predicted: DataFrame, reference: DataFrame, relations: DataFrame, most: int = 2) -> DataFrame:
     """``group_scores`` in tiers: exact first, then relations (prediction, reference, relation,
-    distance) of distance 1 up to ``most``. From (case_id, n, id)."""
+    distance) of distance 1 up to ``most``. From (case_id, n, id). ``relations`` counts the relations of
+    the matches; cases with references count."""
     exact = predicted.alias("p").join(reference.alias("r"), ["case_id", "id"]).select("case_id", F.col("p.n").alias("left"), F.col("r.n").alias("right"), F.lit(0).alias("tier"))
     near = relations.where((F.col("distance") <= most) & (F.col("distance") > 0))
     p = predicted.select("case_id", F.col("n").alias("left"), F.col("id").alias("prediction"))
     r = reference.select("case_id", F.col("n").alias("right"), F.col("id").alias("reference"))
-    wide = p.join(near, "prediction").join(r, ["case_id", "reference"]).select("case_id", "left", "right", F.col("distance").cast("int").alias("tier"))
-    matched = match_edges(exact.unionByName(wide).groupBy("case_id", "left", "right").agg(F.min("tier").alias("tier")))
-    tp = matched.groupBy("case_id").agg(F.count_if(F.col("tier") == 0).alias("exact_tp"), F.count_if(F.col("tier") > 0).alias("related_tp"))
+    wide = p.join(near, "prediction").join(r, ["case_id", "reference"]).select("case_id", "left", "right", F.col("distance").cast("int").alias("tier"), "relation")
+    # Of several relations of one pair the nearest, then the first by prediction and reference order.
+    edges = exact.withColumn("relation", F.lit("exact")).unionByName(wide).groupBy("case_id", "left", "right").agg(F.min(F.struct("tier", "relation")).alias("e"))
+    edges = edges.select("case_id", "left", "right", "e.tier", "e.relation")
+    matched = match_edges(edges).join(edges, ["case_id", "left", "right", "tier"])
+    counts = matched.groupBy("case_id", "relation").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("case_id")
+    tp = counts.agg(
+        F.sum(F.when(F.col("relation") == "exact", F.col("n")).otherwise(0)).alias("exact_tp"), F.sum(F.when(F.col("relation") != "exact", F.col("n")).otherwise(0)).alias("related_tp"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "n")))).alias("relations"),
+    )
     n_p = predicted.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_p"))
     n_r = reference.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_r"))
-    rows = n_p.join(n_r, "case_id", "full").join(tp, "case_id", "left").na.fill(0)
+    rows = n_r.join(n_p, "case_id", "left").join(tp, "case_id", "left").na.fill(0, ["n_p", "exact_tp", "related_tp"])
     tp_all: Column = F.col("exact_tp") + F.col("related_tp")
-    rows = rows.select("case_id", "exact_tp", "related_tp", (F.col("n_p") - tp_all).alias("fp"), (F.col("n_r") - tp_all).alias("fn"))
+    none = F.create_map().cast("map<string,int>")
+    rows = rows.select("case_id", "exact_tp", "related_tp", (F.col("n_p") - tp_all).alias("fp"), (F.col("n_r") - tp_all).alias("fn"), F.coalesce("relations", none).alias("relations"))
     return rows.withColumns(precision_recall_f1(tp_all, F.col("fp"), F.col("fn")))
 
 
+def summarize_layered(cases: DataFrame) -> DataFrame:
+    """One row: sums, micro and macro metrics of ``layered_scores``, and all its relation counts."""
+    counts = cases.select(F.explode("relations").alias("relation", "n")).groupBy("relation").agg(F.sum("n").alias("n"))
+    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "n")))).alias("relation_counts"))
+    sums = cases.agg(
+        F.count(F.lit(1)).alias("cases"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("exact_tp", "related_tp", "fp", "fn")],
+        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+    )
+    tp = F.col("exact_tp") + F.col("related_tp")
+    return sums.crossJoin(counts).withColumns({f"micro_{k}": v for k, v in precision_recall_f1(tp, F.col("fp"), F.col("fn")).items()})
+
+
+def hierarchy_match(predicted: DataFrame, reference: DataFrame, relations: DataFrame, most: int = 1) -> DataFrame:
+    """From (case_id, id) on both sides: (case_id, prediction, reference, relation, distance) matched one
+    to one: equal ids first, then ancestors and descendants up to ``most`` steps away, the nearest and
+    first of each prediction first. Siblings don't match."""
+    p, r = predicted.select("case_id", "id").distinct(), reference.select("case_id", "id").distinct()
+    same = p.join(r, ["case_id", "id"])
+    exact = same.select("case_id", F.col("id").alias("prediction"), F.col("id").alias("reference"), F.lit("exact").alias("relation"), F.lit(0).alias("distance"))
+    near = relations.where(F.col("relation").isin("predicted_ancestor", "predicted_descendant") & (F.col("distance") <= most)).select("prediction", "reference", "relation", F.col("distance").cast("int"))
+    left, right = (x.join(same, ["case_id", "id"], "left_anti").withColumnRenamed("id", n) for x, n in ((p, "prediction"), (r, "reference")))
+    edges = left.join(near, "prediction").join(right, ["case_id", "reference"])
+    # Numbers in the order of the ids, as a matching takes predictions and tries references in order.
+    one = F.struct("prediction", "distance", "reference", "relation")
+    cases = edges.groupBy("case_id").agg(F.array_sort(F.collect_set(one)).alias("e"))
+    names = lambda k: F.array_sort(F.array_distinct(F.transform("e", lambda x: x[k])))
+    cases = cases.select("case_id", "e", names("prediction").alias("ps"), names("reference").alias("rs"))
+    numbered = F.transform("e", lambda x: F.struct(F.array_position(F.col("ps"), x["prediction"]).cast("int").alias("left"), x["distance"].alias("distance"), F.array_position(F.col("rs"), x["reference"]).cast("int").alias("right")))
+    found = cases.select("case_id", "e", "ps", "rs", F.explode(_matched_in_order(numbered)).alias("m"))
+    found = found.select("case_id", F.element_at("ps", F.col("m.left")).alias("prediction"), F.element_at("rs", F.col("m.right")).alias("reference"))
+    return exact.unionByName(found.join(near, ["prediction", "reference"]).select(*exact.columns))
+
+
 def run_consistency(runs: DataFrame) -> DataFrame:
     """From (run, case_id, id): one row with the union, the intersection over all runs, recurrence
     and the mean and least Jaccard of two runs over the cases either has."""
@@ -165,4 +221,4 @@ def fbeta(tp: Column, fp: Column, fn: Column, beta: float = 0.5) -> Column:
     return precision_recall_f1(tp, fp, fn, beta)["fbeta"]
 
 
-__all__ = ["augmenting_matches", "fbeta", "group_scores", "layered_scores", "mark_unscorable", "match_edges", "overlap", "ratio", "run_consistency", "set_scores", "summarize"]
+__all__ = ["augmenting_matches", "fbeta", "group_scores", "hierarchy_match", "layered_scores", "mark_unscorable", "match_edges", "overlap", "ratio", "run_consistency", "set_scores", "summarize", "summarize_layered"]

@@ -104,24 +104,12 @@ def score_threshold(t):
     return D.below_threshold(rows, 42.0).drop("score")
 
 
-@query("""
-WITH d AS (SELECT event_id % 400 AS item_id, min(event_type) AS verdict, count(*) AS n FROM events WHERE event_id < 700 GROUP BY 1)
-SELECT i AS item_id, CASE WHEN n = 1 THEN verdict END AS verdict, CASE WHEN n = 1 THEN NULL ELSE 'review' END AS review_status, CASE WHEN n = 1 THEN NULL ELSE 'incomplete_mapping_decision' END AS error_code
-FROM (SELECT unnest(range(0, 500)) AS i) LEFT JOIN d ON i = item_id
-""")
-def decision_completeness(t):
-    """Of the ids that its SQL names; ``decision_completeness_whole`` takes all."""
-    made = t("events").where("event_id < 700").select((F.col("event_id") % 400).alias("item_id"), F.col("event_type").alias("verdict"))
-    items = t("events").sparkSession.range(500).withColumnRenamed("id", "item_id")
-    return D.complete_decisions(items, made)
-
-
 @query("""
 WITH c AS (SELECT count(*) * 4 // 7 + 1 AS m FROM events), d AS (SELECT event_id % m AS item_id, min(event_type) AS verdict, count(*) AS n FROM events, c GROUP BY 1)
 SELECT event_id AS item_id, CASE WHEN n = 1 THEN verdict END AS verdict, CASE WHEN n = 1 THEN NULL ELSE 'review' END AS review_status, CASE WHEN n = 1 THEN NULL ELSE 'incomplete_mapping_decision' END AS error_code
 FROM events LEFT JOIN d ON event_id = item_id
 """)
-def decision_completeness_whole(t):
+def decision_completeness(t):
     """Every event is an item and a decision: some are decided twice, some once, some never."""
     events = t("events")
     m = events.count() * 4 // 7 + 1
@@ -136,17 +124,6 @@ def evidence_strata(t):
     return t("events").select("event_id", F.concat_ws("|", "event_type", F.coalesce(high, F.lit("none")), size).alias("stratum"))
 
 
-@query("""
-WITH done AS (SELECT event_id % 3000 AS row_index, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS v FROM events WHERE event_id < 6000 GROUP BY 1)
-SELECT e.event_id AS row_index FROM events e LEFT JOIN done d ON e.event_id = d.row_index WHERE e.event_id < 4000 AND (d.row_index IS NULL OR d.status IN ('error', 'click'))
-""")
-def resume_pending(t):
-    """Rows whose last write isn't complete, of the ids that its SQL names; ``resume_pending_whole``
-    takes all."""
-    writes = t("events").where("event_id < 6000").select((F.col("event_id") % 3000).alias("row_index"), "event_id", "event_type")
-    return _pending(t("events").where("event_id < 4000"), writes)
-
-
 def _pending(events, writes):
     """Last write wins, then an anti-join."""
     last = writes.groupBy("row_index").agg(F.max_by("event_type", "event_id").alias("status"))
@@ -158,7 +135,7 @@ def _pending(events, writes):
 WITH c AS (SELECT count(*) * 3 // 4 + 1 AS m FROM events), done AS (SELECT event_id % m AS row_index, arg_max(event_type, event_id) AS status FROM events, c GROUP BY 1)
 SELECT e.event_id AS row_index FROM events e LEFT JOIN done d ON e.event_id = d.row_index WHERE d.row_index IS NULL OR d.status IN ('error', 'click')
 """)
-def resume_pending_whole(t):
+def resume_pending(t):
     """Every event is a row and a write: some rows are written twice, some once, some never."""
     events = t("events")
     m = events.count() * 3 // 4 + 1
@@ -192,7 +169,7 @@ def blinded_reviews(t):
 
 
 _SPANS = """
-WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS start, l_partkey % 50 + 1 + l_quantity::INT % 9 AS stop FROM lineitem WHERE l_orderkey <= 4000)
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS start, l_partkey % 50 + 1 + l_quantity::INT % 9 AS stop FROM lineitem)
 SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b, a.start <= b.start AND a.stop >= b.stop AS contains
 FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.start < b.stop AND a.stop > b.start
 """
@@ -209,12 +186,6 @@ def _spans(lines):
 
 @query(_SPANS)
 def span_overlaps(t):
-    """Of the notes that its SQL names; ``span_overlaps_whole`` takes all."""
-    return _spans(t("lineitem").where("l_orderkey <= 4000"))
-
-
-@query(_SPANS.replace(" WHERE l_orderkey <= 4000", ""))
-def span_overlaps_whole(t):
     return _spans(t("lineitem"))
 
 

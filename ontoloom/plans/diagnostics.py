@@ -9,7 +9,7 @@ from ..operators import diagnostics as D
 from ..operators import extraction, graph, scoring
 from . import annotate as A
 from .common import Plans
-from .scoring import _CLOSURE, _PAIRS, _THIRD, _pairs, _tree, rounded
+from .scoring import _CLOSURE, _PAIRS, _pairs, _tree, numbered, rounded
 from .text import _phrases
 
 PLANS = Plans()
@@ -89,21 +89,11 @@ SELECT prediction, reference FROM (SELECT *, row_number() OVER (PARTITION BY pre
 """
 
 
-def _best(t, pairs):
-    edges = _tree(t)
-    found = graph.relations(pairs, edges, graph.closure(edges)).where("relation <> 'exact'").withColumn("case_id", F.lit(0))
-    return D.best_relation(found).select("prediction", "reference")
-
-
 @query(_BEST)
 def best_relations(t):
-    """Of the third of the customers that its SQL names; ``best_relations_whole`` takes all."""
-    return _best(t, _pairs(t, _THIRD))
-
-
-@query(_BEST.replace(f" WHERE {_THIRD}", ""))
-def best_relations_whole(t):
-    return _best(t, _pairs(t))
+    edges = _tree(t)
+    found = graph.relations(_pairs(t), edges, graph.closure(edges)).where("relation <> 'exact'").withColumn("case_id", F.lit(0))
+    return D.best_relation(found).select("prediction", "reference")
 
 
 @query(None)
@@ -141,8 +131,9 @@ def hybrid_verdicts(t):
 
 
 _CATEGORIES = """
-WITH d AS (SELECT event_id % 500 AS m, any_value(CASE WHEN event_type = 'view' THEN 'Normal' ELSE 'Abnormal' END) AS category, any_value(CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END) AS confidence FROM events WHERE event_id < 800 GROUP BY 1 HAVING count(*) = 1),
-r AS (SELECT o_orderkey % 600 AS m, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'Family History' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'review' ELSE 'accepted' END AS review FROM orders WHERE o_orderkey < 600)
+WITH c AS (SELECT count(*) * 5 // 8 + 1 AS decided, count(*) * 3 // 4 + 1 AS mentions FROM events),
+d AS (SELECT event_id % decided AS m, any_value(CASE WHEN event_type = 'view' THEN 'Normal' ELSE 'Abnormal' END) AS category, any_value(CASE WHEN user_id % 2 = 0 THEN 'low' ELSE 'high' END) AS confidence FROM events, c GROUP BY 1 HAVING count(*) = 1),
+r AS (SELECT o_orderkey % mentions AS m, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'Family History' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'review' ELSE 'accepted' END AS review FROM orders, c)
 SELECT k AS o_orderkey, coalesce(r.category, d.category, 'Abnormal') AS category,
   CASE WHEN r.category IS NULL AND d.m IS NULL THEN 'review' WHEN r.category IS NULL AND d.category <> 'Abnormal' THEN CASE WHEN confidence = 'high' THEN 'accepted' ELSE 'review' END WHEN r.category IS NULL AND confidence = 'low' AND review = 'accepted' THEN 'review' ELSE review END AS review_status,
   CASE WHEN r.category IS NULL AND d.category <> 'Abnormal' THEN NULL ELSE k END AS hpo_id
@@ -159,12 +150,6 @@ def _categories(events, decided, orders, mentions):
 
 @query(_CATEGORIES)
 def final_categories(t):
-    """Of the ids that its SQL names; ``final_categories_whole`` takes all."""
-    return _categories(t("events").where("event_id < 800"), 500, t("orders").where("o_orderkey < 600"), 600)
-
-
-@query("WITH c AS (SELECT count(*) * 5 // 8 + 1 AS decided, count(*) * 3 // 4 + 1 AS mentions FROM events), " + _CATEGORIES.strip().removeprefix("WITH ").replace("event_id % 500", "event_id % decided").replace("FROM events WHERE event_id < 800", "FROM events, c").replace("o_orderkey % 600", "o_orderkey % mentions").replace("FROM orders WHERE o_orderkey < 600", "FROM orders, c"))
-def final_categories_whole(t):
     """Mentions with two decisions, with one and with none."""
     n = t("events").count()
     return _categories(t("events"), n * 5 // 8 + 1, t("orders"), n * 3 // 4 + 1)
@@ -182,7 +167,7 @@ def repeat_variability(t):
 @query(None)
 def reference_sensitivity(t):
     """Alternatives count as one finding, or each is required: micro sums of both readings."""
-    lines = t("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 9).alias("a"), (F.col("l_suppkey") % 9).alias("b"), "l_quantity")
+    lines = numbered(t).select(F.col("l_orderkey").alias("case_id"), "n", (F.col("l_partkey") % 9).alias("a"), (F.col("l_suppkey") % 9).alias("b"), "l_quantity")
     p = lines.where("l_quantity > 20").select("case_id", "n", F.array("a").alias("ids"))
     alternatives = lines.select("case_id", "n", F.array_distinct(F.array("a", "b")).alias("ids"))
     every = lines.select("case_id", (F.col("n") * 2).alias("n"), F.array("a").alias("ids")).unionByName(lines.where("a <> b").select("case_id", (F.col("n") * 2 + 1).alias("n"), F.array("b").alias("ids")))
@@ -191,10 +176,10 @@ def reference_sensitivity(t):
 
 
 @query("""
-SELECT count(*) AS rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT sha256(p_partkey || '|' || p_name || '|' || p_brand) AS h FROM part)
+WITH h AS (SELECT sha256(p_partkey || '|' || p_name || '|' || p_brand) AS h FROM part), b AS (SELECT substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint FROM b
 """)
 def semantic_fingerprint(t):
-    """A digest of all rows that their order doesn't change. What is gathered is 64 characters for
-    each row of a registry."""
+    """A digest of all rows that their order doesn't change: of the digests of 256 parts of them."""
     h = F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", "p_brand"), 256)
-    return t("part").select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+    return D.fingerprint(t("part").select(h.alias("h")))

@@ -3,6 +3,7 @@ reference, what is large enough is predicted. Customers below nations below regi
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, scoring
@@ -113,9 +114,15 @@ def run_consistency(t):
     return rounded(scoring.run_consistency(runs), "recurrence", "mean_jaccard")
 
 
+def numbered(t):
+    """Lines with their place in the order (line numbers come twice)."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    return t("lineitem").withColumn("n", F.row_number().over(w))
+
+
 def _groups(t):
     """Findings as sets of alternatives: a line's part, and its neighbour by number."""
-    lines = t("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 7).alias("b"), "l_quantity", "l_discount")
+    lines = numbered(t).select(F.col("l_orderkey").alias("case_id"), "n", (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 7).alias("b"), "l_quantity", "l_discount")
     p = lines.where("l_quantity > 15").select("case_id", "n", F.array_distinct(F.array("a", "b")).alias("ids"))
     r = lines.where("l_discount < 0.07").select("case_id", "n", F.array_distinct(F.array("b", F.col("a") + 1)).alias("ids"))
     return p, r
@@ -165,19 +172,15 @@ def descendants(t):
 
 
 _PAIRS = """
-pairs AS (SELECT DISTINCT 'c' || c_custkey AS prediction, reference FROM customer, LATERAL (SELECT unnest(['n' || (c_custkey % 25), 'r' || (c_custkey % 5), 'c' || (c_custkey + 1), 'c' || c_custkey]) AS reference) WHERE c_custkey % 3 = 0
+pairs AS (SELECT DISTINCT 'c' || c_custkey AS prediction, reference FROM customer, LATERAL (SELECT unnest(['n' || (c_custkey % 25), 'r' || (c_custkey % 5), 'c' || (c_custkey + 1), 'c' || c_custkey]) AS reference)
   UNION SELECT 'n' || n_nationkey, 'c' || (n_nationkey + 1) FROM nation)
 """
 
 
-#: What the SQL of relation_classify and best_relations keeps of the customers.
-_THIRD = "c_custkey % 3 = 0"
-
-
-def _pairs(t, which="true"):
+def _pairs(t):
     c = F.col("c_custkey")
     refs = F.array(*[F.concat(F.lit(p), x.cast("string")) for p, x in (("n", c % 25), ("r", c % 5), ("c", c + 1), ("c", c))])
-    rows = t("customer").where(which).select(F.concat(F.lit("c"), c.cast("string")).alias("prediction"), F.explode(refs).alias("reference"))
+    rows = t("customer").select(F.concat(F.lit("c"), c.cast("string")).alias("prediction"), F.explode(refs).alias("reference"))
     n = F.col("n_nationkey")
     return rows.unionByName(t("nation").select(F.concat(F.lit("n"), n.cast("string")).alias("prediction"), F.concat(F.lit("c"), (n + 1).cast("string")).alias("reference"))).distinct()
 
@@ -193,32 +196,72 @@ FROM pairs LEFT JOIN anc u ON u.child = prediction AND u.ancestor = reference LE
 
 @query(_RELATIONS)
 def relation_classify(t):
-    """Of the third of the customers that its SQL names; ``relation_classify_whole`` takes all."""
-    edges = _tree(t)
-    return graph.relations(_pairs(t, _THIRD), edges, graph.closure(edges))
-
-
-@query(_RELATIONS.replace(f" WHERE {_THIRD}", ""))
-def relation_classify_whole(t):
     edges = _tree(t)
     return graph.relations(_pairs(t), edges, graph.closure(edges))
 
 
-@query(None)
-def layered_scores(t):
-    """Orders' customers against their suppliers' nations, in tiers of distance 0, 1 and 2."""
+def _layered(t):
+    """Lines' suppliers against their orders' customers' nations, in tiers of distance 0, 1 and 2."""
     edges = _tree(t)
     orders = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     p = orders.select(F.col("o_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"))
     nation = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id"))
     r = t("orders").join(nation, "o_custkey").select(F.col("o_orderkey").alias("case_id"), F.lit(0).alias("n"), "id")
     near = graph.closure(edges).where("depth <= 2").select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.lit("predicted_descendant").alias("relation"), F.col("depth").alias("distance"))
-    return rounded(scoring.layered_scores(p, r, near), "precision", "recall", "f1")
+    return p, r, near
+
+
+_LAYERED = """
+p AS (SELECT l_orderkey AS case_id, n_nationkey AS nation, count(*) AS n_p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL),
+r AS (SELECT o_orderkey AS case_id, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT r.case_id, coalesce(sum(n_p), 0) AS n_p, coalesce(max(CASE WHEN p.nation = r.nation THEN 1 END), 0) AS tp FROM r LEFT JOIN p USING (case_id) GROUP BY r.case_id),
+s AS (SELECT case_id, 0 AS exact_tp, tp AS related_tp, n_p - tp AS fp, 1 - tp AS fn, CASE WHEN n_p = 0 THEN 0.0 ELSE tp::DOUBLE / n_p END AS precision, tp::DOUBLE AS recall FROM c),
+f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM s)
+"""
+
+
+@query(f"WITH {_LAYERED} SELECT case_id, exact_tp, CAST(related_tp AS BIGINT) AS related_tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def layered_scores(t):
+    """One reference a case: a supplier is one step below its nation, so tiers are easy to tell in SQL."""
+    return rounded(scoring.layered_scores(*_layered(t)), "precision", "recall", "f1").drop("relations")
+
+
+@query(f"""
+WITH {_LAYERED}, t AS (SELECT count(*) AS cases, CAST(sum(related_tp) AS BIGINT) AS related_tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg(f1) AS f1 FROM f)
+SELECT cases, related_tp, fp, fn, round(f1, 6) AS macro_f1, round(2.0 * related_tp / (2 * related_tp + fp + fn), 6) AS micro_f1, 'predicted_descendant=' || related_tp AS relations FROM t
+""")
+def layered_summary(t):
+    out = scoring.summarize_layered(scoring.layered_scores(*_layered(t)))
+    told = F.array_join(F.transform(F.map_entries("relation_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+    return rounded(out.select("cases", "related_tp", "fp", "fn", "macro_f1", "micro_f1", told.alias("relations")), "macro_f1", "micro_f1")
+
+
+@query(f"""
+WITH RECURSIVE {_CLOSURE}, p AS (SELECT DISTINCT o_orderkey AS case_id, 'c' || o_custkey AS id FROM orders UNION SELECT o_orderkey, 'r' || (o_custkey % 5) FROM orders),
+r AS (SELECT DISTINCT o_orderkey AS case_id, 'n' || c_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT o_orderkey, 'r' || (o_orderkey % 5) FROM orders),
+e AS (SELECT case_id, id FROM p INTERSECT SELECT case_id, id FROM r),
+x AS (SELECT p.case_id, p.id AS prediction, r.id AS reference FROM p JOIN r ON p.case_id = r.case_id JOIN anc ON child = p.id AND ancestor = r.id AND depth = 1 WHERE p.id LIKE 'c%')
+SELECT case_id, id AS prediction, id AS reference, 'exact' AS relation, 0 AS distance FROM e UNION ALL SELECT case_id, prediction, reference, 'predicted_descendant', 1 FROM x
+UNION ALL SELECT y.case_id, y.p, y.r, 'predicted_ancestor', 1 FROM (SELECT p.case_id, p.id AS p, r.id AS r FROM p JOIN r ON p.case_id = r.case_id JOIN anc ON child = r.id AND ancestor = p.id AND depth = 1) y
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.case_id = y.case_id AND e.id = y.p) AND NOT EXISTS (SELECT 1 FROM x WHERE x.case_id = y.case_id AND x.reference = y.r)
+""")
+def hierarchy_matches(t):
+    """A customer and a region against the customer's nation and another region: the customer, which
+    comes first, takes its nation before a region could."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")) if isinstance(c, str) else F.concat(F.lit(p), c.cast("string"))
+    o, edges = t("orders").withColumn("case_id", F.col("o_orderkey")), _tree(t)
+    nation = o.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), key("n", "c_nationkey").alias("id")), "o_custkey").select("case_id", "id")
+    p = o.select("case_id", key("c", "o_custkey").alias("id")).unionByName(o.select("case_id", key("r", F.col("o_custkey") % 5).alias("id")))
+    r = nation.unionByName(o.select("case_id", key("r", F.col("o_orderkey") % 5).alias("id")))
+    up = graph.closure(edges).where("depth = 1")
+    near = up.select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.lit("predicted_descendant").alias("relation"), F.col("depth").alias("distance"))
+    near = near.unionByName(up.select(F.col("ancestor").alias("prediction"), F.col("child").alias("reference"), F.lit("predicted_ancestor").alias("relation"), F.col("depth").alias("distance")))
+    return scoring.hierarchy_match(p, r, near)
 
 
 _OBSOLETE = """
-WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey > 40 THEN o_orderkey // 2 WHEN o_orderkey % 10 = 5 THEN o_orderkey - 5 END AS next FROM orders WHERE o_orderkey <= 2000),
-w AS (SELECT id, id AS target, 0 AS n FROM l UNION ALL SELECT w.id, l.next, n + 1 FROM w JOIN l ON w.target = l.id WHERE l.next IS NOT NULL AND n < 16)
+WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey > 40 THEN o_orderkey // 2 WHEN o_orderkey % 10 = 5 THEN o_orderkey - 5 END AS next FROM orders),
+w AS (SELECT id, id AS target, 0 AS n FROM l UNION ALL SELECT w.id, l.next, n + 1 FROM w JOIN l ON w.target = l.id WHERE l.next IS NOT NULL)
 SELECT id, arg_max(target, n) AS target FROM w GROUP BY id
 """
 
@@ -231,12 +274,6 @@ def _resolved(orders):
 
 @query(_OBSOLETE)
 def obsolete_resolution(t):
-    """Of the orders that its SQL names; ``obsolete_resolution_whole`` takes all."""
-    return _resolved(t("orders").where("o_orderkey <= 2000"))
-
-
-@query(_OBSOLETE.replace(" WHERE o_orderkey <= 2000", "").replace(" AND n < 16", ""))
-def obsolete_resolution_whole(t):
     return _resolved(t("orders"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.metrics import natural_key
 from ..operators import assertion, lexical
 from .common import Plans
 
@@ -129,8 +128,8 @@ def sentence_split(t):
 
 
 def _phrases(t):
-    """The first four words of each benchmark item as a concept's phrase."""
-    words = F.slice(X.tokens(X.normalize_phrase(F.col("text"))), 1, 4)
+    """The first words of each benchmark item, two to twelve of them, as a concept's phrase."""
+    words = F.slice(X.tokens(X.normalized(F.col("text"))), F.lit(1), (2 + F.col("item_id") % 11).cast("int"))
     rows = t("benchmark").select(F.concat(F.lit("B:"), F.col("item_id").cast("string")).alias("concept_id"), F.array_join(words, " ").alias("phrase"))
     return rows.withColumn("record_key", X.record_key(F.col("concept_id"), F.col("phrase")))
 
@@ -140,9 +139,9 @@ def _notes(t):
 
 
 _PHRASES = f"""
-p AS (SELECT 'B:' || item_id AS concept_id, array_to_string(list_slice(list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> ''), 1, 4), ' ') AS phrase FROM benchmark),
+p AS (SELECT 'B:' || item_id AS concept_id, array_to_string(list_slice(list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> ''), 1, 2 + item_id % 11), ' ') AS phrase FROM benchmark),
 lex AS (SELECT phrase, len(string_split(phrase, ' ')) AS n, string_agg(DISTINCT concept_id, '|' ORDER BY concept_id) AS ids FROM p GROUP BY phrase HAVING phrase <> ''),
-d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+(?:[’''][\\p{{L}}\\p{{N}}\\p{{M}}_]+)?'), lambda x: {_NORM.format('x')}) AS w FROM documents),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+(?:[’''][\\p{{L}}\\p{{N}}_]+)?'), lambda x: {_NORM.format('x')}) AS w FROM documents),
 g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase, w[i : i + n - 1] AS ws
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM lex) WHERE len(w) >= n))
 """
@@ -222,14 +221,19 @@ def neighbour_sentences(t):
     return t("conversations").select("conv_id", "turn", F.coalesce(last, F.lit("")).alias("preceding"), F.coalesce(F.substring(after, 1, 280), F.lit("")).alias("following"))
 
 
-@query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section
-FROM conversations
+_HEADED = "coalesce(lag(role) OVER w || ':' || chr(10) || lag(text) OVER w || chr(10), '') || role || ':' || chr(10)"
+
+
+@query(rf"""
+WITH n AS (SELECT conv_id, turn, {_HEADED} AS head FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, trim(list_extract(regexp_extract_all(head, '(?m)^[ \t]*([A-Za-z][A-Za-z /_-]{{1,48}}):[ \t]*$', 1), -1)) AS section FROM n
 """)
 def last_section(t):
-    """The last heading (here a user's turn) before each row."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, F.lit(-1))
-    return t("conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("section"))
+    """Two turns as a note, each below its role as a heading: the section of the second one's text."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    head = F.concat(F.coalesce(F.concat(F.lag("role").over(w), F.lit(":\n"), F.lag("text").over(w), F.lit("\n")), F.lit("")), "role", F.lit(":\n"))
+    rows = t("conversations").select("conv_id", "turn", "text", head.alias("head")).withColumn("note", F.concat("head", "text"))
+    return rows.select("conv_id", "turn", assertion.section_at(F.col("note"), F.length("head")).alias("section"))
 
 
 @query(r"""
@@ -248,11 +252,23 @@ def expanded_acronyms(t):
     return t("orders").select("o_orderkey", X.expand_acronyms(F.concat(code, F.lit(" was")), {"FF": "finished"}).alias("note"))
 
 
-@query("""
-SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN regexp_matches(source, '^[0-9]+$') THEN 0 ELSE 1 END, source, doc_id) AS place
-FROM documents ORDER BY place LIMIT 256
+@query(f"""
+WITH p AS (SELECT DISTINCT p_name || ' ' || p_size AS phrase, {_NORM.format("p_name || ' ' || p_size")} AS normalized, p_partkey FROM part),
+f AS (SELECT normalized, phrase FROM (SELECT DISTINCT normalized, phrase FROM p) ORDER BY normalized, phrase LIMIT 256)
+SELECT phrase FROM f UNION SELECT normalized FROM p GROUP BY normalized HAVING count(DISTINCT p_partkey) > 1
 """)
 def probe_sample(t):
-    """The first 256 rows in natural order: a report of bounded size."""
-    rows = t("documents").select("doc_id", "source").orderBy(*natural_key("source"), "doc_id").limit(256)
-    return rows.select("doc_id", F.row_number().over(Window.orderBy(*natural_key("source"), "doc_id")).cast("long").alias("place"))
+    """The first 256 phrases, a report of bounded size, and every ambiguous one."""
+    phrase = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    return lexical.probes(t("part").select(F.col("p_partkey").alias("concept_id"), phrase.alias("phrase")))
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, p_name AS phrase FROM part UNION ALL SELECT p_partkey + 1000000000, 'severe ' || p_name FROM part UNION ALL SELECT p_partkey + 2000000000, 'acute' FROM part WHERE p_partkey < 3)
+SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1000000000 AND 1999999999 THEN substr(phrase, 8) END AS variant FROM w
+""")
+def head_variants(t):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    rows = t("part").select(k, name.alias("phrase")).unionByName(t("part").select((k + 1_000_000_000).alias("p_partkey"), F.concat(F.lit("severe "), name).alias("phrase")))
+    rows = rows.unionByName(t("part").where("p_partkey < 3").select((k + 2_000_000_000).alias("p_partkey"), F.lit("acute").alias("phrase")))
+    return rows.select("p_partkey", lexical.head_variant(F.col("phrase")).alias("variant"))

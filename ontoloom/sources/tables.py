@@ -91,3 +91,16 @@ def selected_cases(spark: SparkSession, path: str, keys: tuple[str, ...] = ("sel
     if not found:
         raise ValueError(f"{path} has none of {', '.join(keys)}")
     return df.select(F.posexplode(F.coalesce(*[c.cast("array<string>") for c in found])).alias("place", "case_id"))
+
+
+#: Codes of rows whose calculation is missing, so that their case can't be scored.
+CALCULATION_ERRORS = ("incomplete_mapping_decision", "incomplete_final_category")
+
+
+def calculation_errors(rows: DataFrame) -> DataFrame:
+    """(case_id, codes): what makes a case unscorable. Rows in error count with their code, or as
+    row_failure; others only with one of CALCULATION_ERRORS."""
+    code = F.nullif(F.trim(F.coalesce("error_code", F.lit(""))), F.lit(""))
+    found = F.when(F.col("mapping_status") == "error", F.coalesce(code, F.lit("row_failure"))).when(code.isin(*CALCULATION_ERRORS), code)
+    named = rows.withColumn("code", found).where(F.col("code").isNotNull() & (F.trim("patient_id") != ""))
+    return named.groupBy(F.trim("patient_id").alias("case_id")).agg(F.array_sort(F.collect_set("code")).alias("codes"))

@@ -40,18 +40,18 @@ def test_decisions(spark, tables):
     for e, _, kind in events:
         made[e % m].append(kind)
     want = [(e, made[e][0], None) if len(made[e]) == 1 else (e, None, "review") for e, *_ in events]
-    assert got(spark, tables, "decision_completeness_whole", "item_id", "verdict", "review_status") == sorted(want, key=str)
+    assert got(spark, tables, "decision_completeness", "item_id", "verdict", "review_status") == sorted(want, key=str)
     m, last = len(events) * 3 // 4 + 1, {}
     for e, _, kind in events:
         last[e % m] = kind
-    assert got(spark, tables, "resume_pending_whole", "row_index") == sorted([(e,) for e, *_ in events if last.get(e, "error") in ("error", "click")], key=str)
+    assert got(spark, tables, "resume_pending", "row_index") == sorted([(e,) for e, *_ in events if last.get(e, "error") in ("error", "click")], key=str)
 
 
 def test_spans(spark, tables):
     spans = [(k, n, p % 50, p % 50 + 1 + int(q) % 9) for k, n, p, _, q in tables[1]["lineitem"]]
     want = [(x[0], x[1], y[1], x[2] <= y[2] and x[3] >= y[3]) for x in spans for y in spans if x[0] == y[0] and x[1] < y[1] and x[2] < y[3] and x[3] > y[2]]
     assert any(k > 4000 for k, *_ in want)
-    assert got(spark, tables, "span_overlaps_whole", "l_orderkey", "a", "b", "contains") == sorted(want, key=str)
+    assert got(spark, tables, "span_overlaps", "l_orderkey", "a", "b", "contains") == sorted(want, key=str)
 
 
 def test_categories(spark, tables):
@@ -70,7 +70,7 @@ def test_categories(spark, tables):
             want.append((k, "Normal", "accepted" if own[0][1] == "high" else "review", None))
         else:
             want.append((k, "Abnormal", "review" if own[0][1] == "low" else review, k))
-    assert got(spark, tables, "final_categories_whole", "o_orderkey", "category", "review_status", "hpo_id") == sorted(want, key=str)
+    assert got(spark, tables, "final_categories", "o_orderkey", "category", "review_status", "hpo_id") == sorted(want, key=str)
 
 
 def test_obsolete(spark, tables):
@@ -82,7 +82,7 @@ def test_obsolete(spark, tables):
         while to in known and step(to) is not None:
             to = step(to)
         want.append((k, to))
-    assert got(spark, tables, "obsolete_resolution_whole", "id", "target") == sorted(want, key=str)
+    assert got(spark, tables, "obsolete_resolution", "id", "target") == sorted(want, key=str)
 
 
 def test_relations(spark, tables):
@@ -105,12 +105,12 @@ def test_relations(spark, tables):
 
     pairs = {(f"c{k}", x) for k, _ in tables[1]["customer"] for x in (f"n{k % 25}", f"r{k % 5}", f"c{k + 1}", f"c{k}")} | {(f"n{k}", f"c{k + 1}") for k, _ in tables[1]["nation"]}
     want = {p: relation(*p) for p in pairs}
-    assert got(spark, tables, "relation_classify_whole", "prediction", "reference", "relation", "distance") == sorted([(*p, *r) for p, r in want.items()], key=str)
+    assert got(spark, tables, "relation_classify", "prediction", "reference", "relation", "distance") == sorted([(*p, *r) for p, r in want.items()], key=str)
     kinds, best = ["predicted_descendant", "predicted_ancestor", "sibling", "unrelated"], {}
     for (a, b), (kind, distance) in want.items():
         if kind != "exact":
             best[a] = min(best.get(a, (9,)), (kinds.index(kind), 10**9 if distance is None else distance, b))
-    assert got(spark, tables, "best_relations_whole", "prediction", "reference") == sorted(((a, x[2]) for a, x in best.items()), key=str)
+    assert got(spark, tables, "best_relations", "prediction", "reference") == sorted(((a, x[2]) for a, x in best.items()), key=str)
 
 
 def test_all_predictions_are_scored(spark, tables):

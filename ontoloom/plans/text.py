@@ -142,15 +142,15 @@ _PHRASES = f"""
 p AS (SELECT 'B:' || item_id AS concept_id, array_to_string(list_slice(list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> ''), 1, 2 + item_id % 11), ' ') AS phrase FROM benchmark),
 lex AS (SELECT phrase, len(string_split(phrase, ' ')) AS n, string_agg(DISTINCT concept_id, '|' ORDER BY concept_id) AS ids FROM p GROUP BY phrase HAVING phrase <> ''),
 d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+(?:[’''][\\p{{L}}\\p{{N}}_]+)?'), lambda x: {_NORM.format('x')}) AS w FROM documents),
-g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase, w[i : i + n - 1] AS ws
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM lex) WHERE len(w) >= n))
+firsts AS (SELECT list(DISTINCT string_split(phrase, ' ')[1]) AS firsts FROM lex),
+g AS (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(firsts, w[i]))) AS i FROM d, firsts)
 """
 
 
 @query(f"""
 WITH {_PHRASES}
-SELECT g.doc_id AS note_id, lex.ids AS ids, count(*) AS n FROM g JOIN lex ON g.phrase = lex.phrase AND g.n = lex.n
-WHERE len(string_split(g.phrase, ' ')) = g.n GROUP BY 1, 2
+SELECT g.doc_id AS note_id, lex.ids AS ids, count(*) AS n FROM g JOIN lex ON w[i] = string_split(lex.phrase, ' ')[1]
+WHERE array_to_string(w[i : i + lex.n - 1], ' ') = lex.phrase AND len(w) >= i + lex.n - 1 GROUP BY 1, 2
 """.replace("\\\\p", "\\p"))
 def lexical_exact_mentions(t):
     found = lexical.mentions(_notes(t), lexical.lexicon(_phrases(t)))

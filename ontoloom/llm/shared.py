@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder, shared_dir
+from ..sources.shared import SMALL as BATCHES
+from ..sources.shared import new_folder, settings, shared_dir
 from ..sources.shared import stored as write
 
 __all__ = ["lower_ascii", "new_folder", "settings", "shared_dir", "sliced", "stored", "text_key", "text_or_empty", "unused", "without_texts"]
@@ -30,28 +30,9 @@ def text_key() -> Column:
     return F.unhex(F.sha2(text_or_empty(), 256))
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """The session's settings are ``values`` inside, and what they were after."""
-    kept = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
-#: Rows of whole texts that a reader, and a worker's batch, hold at a time: the usual thousands are
-#: arrays of tens of megabytes in each task.
-BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (see ``sources.shared``), in small batches."""
-    with settings(df.sparkSession, BATCHES):
-        return write(df, name)
+    return write(df, name, BATCHES)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

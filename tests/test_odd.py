@@ -2,6 +2,7 @@
 
 import duckdb
 
+from ontoloom.operators import lexical
 from ontoloom.plans import ALL
 
 QUERIES = {k: f for p in ALL for k, f in p.queries.items()}
@@ -24,3 +25,16 @@ def test_cues_beside_letters_beyond_ascii(spark, tmp_path):
     turns = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string")
     got, want = both(spark, tmp_path, "assertion_cues", conversations=turns)
     assert got == want and ("1", "no") in {(str(r[0]), r[2]) for r in got}
+
+
+def test_only_runs_that_may_be_phrases_are_made(spark):
+    """Runs of words that are all in the lexicon, but in no phrase in that order, were rows before."""
+    phrases = spark.createDataFrame([(f"c{k}", p, f"k{k}") for k, p in enumerate(["red eye", "long QT interval", "Kopf weh", "ÖDEM der Füße", "swollen fingers today"])], "concept_id string, phrase string, record_key string")
+    exact = lexical.lexicon(phrases)
+    texts = ["eye red long interval QT weh Kopf " * 50, "Red  eye, LONG-qt interval", "ödem DER füsse; red_eye; finger swollen today", None, ""]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id long, text string")
+    runs = lexical.spans(notes, exact).where("note_id > 0").select("key", "start", "stop", "phrase").collect()
+    assert sorted(runs) == [("long qt interval", 10, 26, "LONG-qt interval"), ("red eye", 0, 8, "Red  eye"), ("ödem der füsse", 0, 14, "ödem DER füsse")]
+    assert lexical.spans(notes, exact).where("note_id = 0").isEmpty()
+    found = lexical.mentions(notes, exact, lexical.morphological_lexicon(exact)).where("evidence = 'morphological' AND note_id = 2").collect()
+    assert [(r.phrase, r.ids) for r in found] == [("finger swollen today", ["c4"])]

@@ -38,3 +38,14 @@ def test_only_runs_that_may_be_phrases_are_made(spark):
     assert lexical.spans(notes, exact).where("note_id = 0").isEmpty()
     found = lexical.mentions(notes, exact, lexical.morphological_lexicon(exact)).where("evidence = 'morphological' AND note_id = 2").collect()
     assert [(r.phrase, r.ids) for r in found] == [("finger swollen today", ["c4"])]
+
+
+def test_merging_reads_texts_once(spark, tmp_path):
+    """A broad mention, and narrow ones inside it, however far apart the spans start; the texts are no
+    part of the plan any more."""
+    for name, rows in (("benchmark", [(k, "blue sky over far hills and seas") for k in (0, 3, 5)]), ("documents", [(1, "x " * 200 + "Blue sky, over far hills. blue sky"), (2, None)])):
+        spark.createDataFrame(rows, f"{'item' if name == 'benchmark' else 'doc'}_id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    df = QUERIES["merged_mentions"](spark, str(tmp_path))
+    assert not [f for f in df.inputFiles() if "documents" in f]
+    got = sorted((r.start, r.phrase, r.ids, r.methods) for r in df.collect())
+    assert got == [(400, "blue sky over far hills", "B:3", "native|second"), (426, "blue sky", "B:0", "native")]

@@ -1,8 +1,9 @@
 """Queries over small tables of odd rows, against their SQL or plain Python."""
 
 import duckdb
+import numpy as np
 
-from ontoloom.operators import lexical
+from ontoloom.operators import lexical, retrieval
 from ontoloom.plans import ALL
 
 QUERIES = {k: f for p in ALL for k, f in p.queries.items()}
@@ -49,3 +50,19 @@ def test_merging_reads_texts_once(spark, tmp_path):
     assert not [f for f in df.inputFiles() if "documents" in f]
     got = sorted((r.start, r.phrase, r.ids, r.methods) for r in df.collect())
     assert got == [(400, "blue sky over far hills", "B:3", "native|second"), (426, "blue sky", "B:0", "native")]
+
+
+def test_dense_passes_on_the_best_of_a_partition(spark):
+    """Rows go on once a partition, not once a batch; equal scores by id, in tiles of any size."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (700, 4)).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "row_id long, embedding array<float>").repartition(3)
+    asked = rows.where("row_id % 10 = 0").select(rows.row_id.alias("query_id"), "embedding")
+    parts = retrieval.nearest_of_parts(asked, rows, 5, tile=(16, 32))
+    assert parts.count() <= 70 * 3 * 5
+    want = []
+    for q in range(0, 700, 10):
+        scores = vectors @ vectors[q]
+        want += [(q, int(k), float(scores[k]), n) for n, k in enumerate(np.lexsort((np.arange(700), -scores))[:5], 1)]
+    got = retrieval.dense_topk(asked, rows, 5).select("query_id", "row_id", "score", "rank").collect()
+    assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want

@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.fuzzy import ratio
 
@@ -87,9 +88,17 @@ def place(note: str, phrases: list[str]) -> list[dict]:
     return out
 
 
-@pandas_udf(PLACED)
-def placed(note: pd.Series, phrases: pd.Series) -> pd.Series:
-    return pd.Series([place(n or "", list(p) if p is not None else []) for n, p in zip(note, phrases)])
+_ARROW = pa.list_(pa.struct([("phrase", pa.string()), ("how", pa.string()), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))
+
+
+@arrow_udf(PLACED)
+def placed(note: pa.Array, phrases: pa.Array) -> pa.Array:
+    parts = []
+    # A few notes at a time as Python objects; what stays of them is Arrow's.
+    for low in range(0, len(note), 256):
+        rows = zip(note.slice(low, 256), phrases.slice(low, 256))
+        parts.append(pa.array([place(n.as_py() or "", p.as_py() or []) for n, p in rows], _ARROW))
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
 
 
 class TooLarge(Exception):

@@ -1,9 +1,13 @@
 """Queries over small tables of odd rows, against their SQL or plain Python."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 
-from ontoloom.operators import lexical, retrieval
+from ontoloom.functions import text as X
+from ontoloom.operators import extraction, lexical, retrieval
 from ontoloom.plans import ALL
 
 QUERIES = {k: f for p in ALL for k, f in p.queries.items()}
@@ -66,3 +70,15 @@ def test_dense_passes_on_the_best_of_a_partition(spark):
         want += [(q, int(k), float(scores[k]), n) for n, k in enumerate(np.lexsort((np.arange(700), -scores))[:5], 1)]
     got = retrieval.dense_topk(asked, rows, 5).select("query_id", "row_id", "score", "rank").collect()
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
+
+
+def test_spans_of_a_large_batch_are_few_objects():
+    texts = pa.array(["Ab cd ef. " * 80, None, "", "ü"] * 500)
+    tracemalloc.start()
+    words, sentences = X.token_spans.func(texts), X.sentence_spans.func(texts)
+    placed = extraction.placed.func(texts.slice(0, 600), pa.array([["ef cd", "ab"], None] * 300))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and [len(x) for x in (words, sentences, placed)] == [2000, 2000, 600]
+    assert words[4].as_py()[240 - 1] == {"id": 239, "start": 796, "stop": 798, "text": "ef"} and words[1].as_py() == [] and len(sentences[1996]) == 80
+    assert placed[2].as_py() == [] and placed[596].as_py()[-1] == {"phrase": "Ab", "how": "literal", "segments": [{"start": 0, "stop": 2}]}

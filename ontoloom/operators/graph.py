@@ -57,15 +57,18 @@ def relations(pairs: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataF
 
 def resolve_obsolete(links: DataFrame) -> DataFrame:
     """(id, target): follow (id, replaced_by, consider) to its end; a step back to an id already
-    passed ends the walk there."""
-    step = links.select(F.col("id").alias("from_id"), F.coalesce("replaced_by", "consider").alias("next")).where("next IS NOT NULL")
-    walk = links.select("id", F.col("id").alias("target"), F.array("id").alias("passed"), F.lit(True).alias("open"))
+    passed ends the walk there. Only ids still on their way go on to the next step."""
+    step = stored(links.select(F.col("id").alias("from_id"), F.coalesce("replaced_by", "consider").alias("next")).where("next IS NOT NULL"), "steps")
+    walk, ended = links.select("id", F.col("id").alias("target"), F.array("id").alias("passed")), None
     while True:
-        moved = walk.join(step, F.col("open") & (F.col("target") == F.col("from_id")), "left")
+        moved = walk.join(step, F.col("target") == F.col("from_id"), "left")
         on = F.col("next").isNotNull() & ~F.array_contains("passed", F.col("next"))
-        walk = stored(moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).otherwise(F.col("passed")).alias("passed"), on.alias("open")), "walk")
-        if walk.where("open").isEmpty():
-            return walk.select("id", "target")
+        moved = stored(moved.select("id", F.when(on, F.col("next")).otherwise(F.col("target")).alias("target"), F.when(on, F.array_append("passed", F.col("next"))).alias("passed"), on.alias("open")), "walk")
+        end = moved.where("NOT open").select("id", "target")
+        ended = end if ended is None else ended.unionByName(end)
+        walk = moved.where("open").drop("open")
+        if walk.isEmpty():
+            return ended
 
 
 def normalise_ids(rows: DataFrame, aliases: DataFrame, column: str = "id") -> DataFrame:

@@ -9,6 +9,13 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.metrics import precision_recall_f1, ratio
+from ..sources.shared import stored
+
+
+#: Rows that a task of ``run_consistency`` gets, as its memory grows with them.
+ROWS_OF_A_TASK = 1_000_000
+#: Runs that one whole number tells.
+BITS = 62
 
 
 def set_scores(predicted: DataFrame, reference: DataFrame, case: str = "case_id") -> DataFrame:
@@ -200,21 +207,44 @@ def hierarchy_match(predicted: DataFrame, reference: DataFrame, relations: DataF
     return exact.unionByName(found.join(near, ["prediction", "reference"]).select(*exact.columns))
 
 
-def run_consistency(runs: DataFrame) -> DataFrame:
+def run_consistency(runs: DataFrame, at_once: int = 64) -> DataFrame:
     """From (run, case_id, id): one row with the union, the intersection over all runs, recurrence
-    and the mean and least Jaccard of two runs over the cases either has."""
-    n_runs = runs.agg(F.count_distinct("run").alias("n_runs"))
-    seen = runs.groupBy("case_id", "id").agg(F.count_distinct("run").alias("n"), F.array_sort(F.collect_set("run")).alias("in"))
-    pairs = seen.crossJoin(F.broadcast(n_runs))
-    total = pairs.agg(F.count(F.lit(1)).alias("union_size"), F.count_if(F.col("n") == F.col("n_runs")).alias("stable_size"))
-    total = total.withColumn("recurrence", F.when(F.col("union_size") == 0, 1.0).otherwise(F.col("stable_size") / F.col("union_size")))
-    names = runs.select("run").distinct()
-    both = names.select(F.col("run").alias("a")).crossJoin(F.broadcast(names.select(F.col("run").alias("b")))).where("a < b")
-    # Runs are few; a row for each pair of runs and (case, id) that either has.
-    rows = seen.crossJoin(F.broadcast(both)).withColumns({"x": F.array_contains("in", F.col("a")), "y": F.array_contains("in", F.col("b"))}).where("x OR y")
-    each = rows.groupBy("a", "b", "case_id").agg((F.count_if(F.col("x") & F.col("y")) / F.count(F.lit(1))).alias("j"))
-    spread = each.agg(F.round(F.avg("j"), 9).alias("mean_jaccard"), F.min("j").alias("min_jaccard"))
-    return total.crossJoin(spread)
+    and the mean and least Jaccard of two runs over the cases either has. Repeated rows count once.
+
+    Runs are few: which of them have an id is bits of whole numbers. Rows are shuffled once, by case, to
+    tasks of about ROWS_OF_A_TASK, and all sums are of plain numbers; ``at_once`` pairs of runs are
+    compared in one pass over the cases."""
+    sizes = {r.run: r.n for r in runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(x for x in sizes if x is not None)
+    words = [names[k : k + BITS] for k in range(0, max(1, len(names)), BITS)]
+    bits = [sum((F.when(F.col("run") == x, F.lit(1 << k)).otherwise(F.lit(0)) for k, x in enumerate(word)), F.lit(0)).cast("long") for word in words]
+    seen = runs.repartition(1 + sum(sizes.values()) // ROWS_OF_A_TASK, "case_id").groupBy("case_id", "id").agg(*[F.bit_or(b).alias(f"w{k}") for k, b in enumerate(bits)])
+    has = lambda k: F.col(f"w{k // BITS}").bitwiseAND(F.lit(1 << k % BITS)) != 0
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
+    if len(pairs) > at_once:
+        seen = stored(seen, "runs")
+    all_runs = F.lit(True)
+    for k, word in enumerate(words):
+        all_runs = all_runs & (F.col(f"w{k}") == F.lit((1 << len(word)) - 1))
+    parts = []
+    for low in range(0, max(1, len(pairs)), at_once):
+        some = list(enumerate(pairs[low : low + at_once]))
+        counts = [c for k, (a, b) in some for c in (F.count_if(has(a) & has(b)).alias(f"i{k}"), F.count_if(has(a) | has(b)).alias(f"u{k}"))]
+        cases = seen.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(all_runs).alias("stable"), *counts)
+        j = [F.when(F.col(f"u{k}") > 0, F.col(f"i{k}") / F.col(f"u{k}")) for k, _ in some] or [F.lit(None).cast("double")]
+        number = lambda x: F.coalesce(x, F.lit(0.0))
+        parts.append(cases.agg(
+            F.sum("n").alias("n"), F.sum("stable").alias("stable"), F.sum(sum(map(number, j), F.lit(0.0))).alias("j"),
+            F.sum(sum((x.isNotNull().cast("long") for x in j), F.lit(0))).alias("of"), F.min(F.array_min(F.array(*j))).alias("least"), F.lit(low).alias("part"),
+        ))
+    sums = parts[0]
+    for part in parts[1:]:
+        sums = sums.unionByName(part)
+    first = lambda c: F.coalesce(F.sum(F.when(F.col("part") == 0, F.col(c))), F.lit(0))
+    total = sums.agg(first("n").alias("union_size"), first("stable").alias("stable_size"), F.sum("j").alias("j"), F.sum("of").alias("of"), F.min("least").alias("min_jaccard"))
+    recurrence = F.when(F.col("union_size") == 0, 1.0).otherwise(F.col("stable_size") / F.col("union_size"))
+    mean = F.when(F.col("of") > 0, F.round(F.col("j") / F.col("of"), 9))
+    return total.select("union_size", "stable_size", recurrence.alias("recurrence"), mean.alias("mean_jaccard"), "min_jaccard")
 
 
 def fbeta(tp: Column, fp: Column, fn: Column, beta: float = 0.5) -> Column:

@@ -109,3 +109,39 @@ def test_decisions(spark):
     assert got == ["exact_specific_asserted", "exact_cross_method_agreement", "morphological_cross_method_agreement", "cross_method_disagreement", "requires_verification", "assertion_negated"]
     native = spark.createDataFrame([(["a"], "affirmed"), (["a"], "negated"), (["a", "b"], "affirmed")], "ids array<string>, s string").select(decisions.native_decision(F.col("ids"), F.col("s")).alias("d")).collect()
     assert [(r.d.selected_id, r.d.review_status) for r in native] == [("a", "accepted"), ("a", "review"), (None, "review")]
+
+
+def plain_consistency(rows):
+    """Union, intersection over all runs, mean and least Jaccard of two runs, by sets."""
+    runs, seen = sorted({r for r, _, _ in rows}), {}
+    for r, c, i in rows:
+        seen.setdefault((c, i), set()).add(r)
+    j = []
+    for a, b in itertools.combinations(runs, 2):
+        for case in {c for _, c, _ in rows}:
+            of = [{i for r, c, i in rows if r == run and c == case} for run in (a, b)]
+            if of[0] | of[1]:
+                j.append(len(of[0] & of[1]) / len(of[0] | of[1]))
+    return len(seen), sum(len(v) == len(runs) for v in seen.values()), sum(j) / len(j), min(j)
+
+
+def test_runs_repeated_and_many(spark, monkeypatch):
+    """Rows that come twice count once; more runs than a word has bits, and more pairs than a pass takes."""
+    schema = "run string, case_id long, id string"
+    twice = [("a", 1, "x"), ("a", 1, "x"), ("b", 1, "x"), ("b", 1, "y"), ("b", 2, "y")]
+    rng = random.Random(3)
+    many = [(f"r{k}", case, str(i)) for k in range(5) for case in range(3) for i in range(4) if i == 0 or rng.random() < 0.7]
+    for rows, at_once, bits in ((twice, 64, 62), (many, 4, 2)):
+        monkeypatch.setattr(scoring, "BITS", bits)
+        got = scoring.run_consistency(spark.createDataFrame(rows, schema), at_once).first()
+        assert tuple(got[:2]) == plain_consistency(rows)[:2] and (got.mean_jaccard, got.min_jaccard) == pytest.approx(plain_consistency(rows)[2:])
+    empty = scoring.run_consistency(spark.createDataFrame([], schema)).first()
+    assert (empty.union_size, empty.stable_size, empty.recurrence, empty.mean_jaccard) == (0, 0, 1.0, None)
+
+
+def test_tasks_of_runs_are_bounded(spark, monkeypatch):
+    """Tasks are as many as rows ask for, whatever the session's partitions."""
+    monkeypatch.setattr(scoring, "ROWS_OF_A_TASK", 100)
+    rows = spark.range(2_000).selectExpr("id % 3 AS run", "id DIV 6 AS case_id", "id % 2 AS id")
+    plan = scoring.run_consistency(rows)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and ", 21" in plan

@@ -145,3 +145,37 @@ def test_tasks_of_runs_are_bounded(spark, monkeypatch):
     rows = spark.range(2_000).selectExpr("id % 3 AS run", "id DIV 6 AS case_id", "id % 2 AS id")
     plan = scoring.run_consistency(rows)._jdf.queryExecution().toString()
     assert "RepartitionByExpression" in plan and ", 21" in plan
+
+
+def test_groups_like_edges(spark):
+    """Sizes of matchings by keys are those by edges; cases go over batches; repeated numbers are one finding."""
+    rng = random.Random(5)
+    sides = [[(case, n, [rng.choice("abcdefg") for _ in range(rng.randint(0, 3))]) for case in range(300) for n in range(rng.randint(0, 7))] for _ in range(2)]
+    sides[0].append((7, 0, ["a", None]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        p, r = (spark.createDataFrame(x, "case_id long, n long, ids array<string>") for x in sides)
+        got = {x.case_id: (x.tp, x.fp, x.fn) for x in scoring.group_scores(p, r).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for case in {c for c, _, _ in sides[1]}:
+        left, right = ([(n, {*g} - {None}) for c, n, g in side if c == case] for side in sides)
+        edges = {a: sorted({b for m, g in left if m == a for b, h in right if g & h}) for a, _ in left}
+        tp = len(scoring.augmenting_matches(edges))
+        want[case] = (tp, len(left) - tp, len(right) - tp)
+    assert got == want
+
+
+def test_many_that_share_an_id(spark):
+    """Findings that share one id are not paired each with each: 4,000 on both sides were 16 million edges."""
+    p, r = (spark.range(4_000).selectExpr("1 AS case_id", "id AS n", f"array('x', '{s}' || id) AS ids") for s in "pr")
+    plan = scoring.group_scores(p, r)
+    assert "Join" not in plan._jdf.queryExecution().toString() and plan.first().tp == 4_000
+
+
+def test_groups_of_sides_dealt_already(spark):
+    """Sides that come by case_id, of sizes that are coalesced differently, still meet."""
+    rows = spark.range(30_000).selectExpr("id DIV 3 AS case_id", "id AS n", "array('x', uuid()) AS ids").repartition("case_id")
+    got = scoring.group_scores(rows.dropDuplicates(["case_id", "ids"]), rows.where("n % 3 = 0").select("case_id", "n", F.slice("ids", 1, 1).alias("ids")))
+    assert tuple(got.agg(F.count("*"), F.sum("tp"), F.sum("fp"), F.sum("fn")).first()) == (10_000, 10_000, 20_000, 0)

@@ -22,6 +22,9 @@ import numpy as np
 
 #: Entries (about 150 bytes each) that a worker remembers in one table before it starts anew.
 REMEMBERED = 200_000
+#: Chunks that a prefix counter remembers before its table becomes the older one: what is met again goes
+#: on to the new table, so that frequent words stay while rare ones go.
+CHUNKS = 300_000
 
 #: The usual byte-level cutting rule, in the syntax of ``re``; [^\W\d_] with the numbers that
 #: are not decimal digits taken out is \p{L}. Used only below FIRST_OTHER.
@@ -144,6 +147,7 @@ class PrefixCounter:
         self._follows: dict[int, bool] = {}
         self._heads: dict[bytes, tuple] = {}
         self._chunks: dict[str, bytes | None] = {}
+        self._older: dict[str, bytes | None] = {}
         self._tokens = {i: t for t, i in bpe.ranks.items()}
         ends: dict[bytes, set] = {}
         for t in bpe.ranks:
@@ -220,8 +224,12 @@ class PrefixCounter:
         return out
 
     def _chunk(self, chunk: str) -> bytes | None:
-        if len(self._chunks) >= REMEMBERED:
-            self._chunks.clear()
+        if len(self._chunks) >= CHUNKS:
+            self._chunks, self._older = {}, self._chunks
+        got = self._older.get(chunk)
+        if got is not None:
+            self._chunks[chunk] = got
+            return got
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             got = None
         elif chunk.isalpha() and not _ODD.search(chunk):
@@ -238,7 +246,8 @@ class PrefixCounter:
         key = piece[1:] if piece[0] == " " and piece[1:].isalpha() else "\0" + piece
         got = self._chunks.get(key)
         if got is None:
-            got = self._chunks[key] = self._piece_deltas(piece).tobytes()
+            got = self._older.get(key) or self._piece_deltas(piece).tobytes()
+            self._chunks[key] = got
         return got
 
     def deltas(self, text: str | None) -> np.ndarray:

@@ -172,3 +172,19 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert best_fit_packing(more.limit(0), PATH).count() == packed_matrices(more.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         packed_matrices(df, PATH, capacity=65_537)
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """A full table of chunks doesn't lose words that are met again and again."""
+    from ontoloom.llm import tokens
+    from ontoloom.llm.queries import BYTE_BPE
+
+    monkeypatch.setattr(tokens, "CHUNKS", 40)
+    counter, made = tokens.PrefixCounter(tokens.byte_bpe(BYTE_BPE)), []
+    real = counter._piece_deltas
+    monkeypatch.setattr(counter, "_piece_deltas", lambda piece: made.append(piece) or real(piece))
+    plain = tokens.PrefixCounter(tokens.byte_bpe(BYTE_BPE))
+    for k in range(60):
+        text = "the frequent words" + "".join(f" rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(10)) + " frequent words"
+        assert counter.deltas(text).tolist() == plain._ordinary(text).tolist()
+    assert made.count(" frequent") == 1 and made.count(" words") == 1

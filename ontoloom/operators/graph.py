@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(child, ancestor, depth): every ancestor with its least distance; a node is its own only on
     a cycle. The frontier is joined with the edges level by level, and only pairs not seen before
-    go on, so cycles end."""
+    go on, so cycles end. ``most`` (1 or more) ends it at that depth."""
     edges = stored(edges.select("child", "parent").distinct(), "edges")
     seen = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     frontier = seen
-    for depth in count(2):
+    for depth in count(2) if most is None else range(2, most + 1):
         step = frontier.select(F.col("child").alias("c"), F.col("ancestor").alias("child")).join(edges, "child")
         step = step.select(F.col("c").alias("child"), F.col("parent").alias("ancestor")).distinct()
         frontier = stored(step.join(seen, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+    return seen
 
 
 def descendants(edges: DataFrame, root, active: DataFrame | None = None) -> DataFrame:

@@ -256,7 +256,9 @@ def layered_scores(predicted: DataFrame, reference: DataFrame, relations: DataFr
     distance) of distance 1 up to ``most``. From (case_id, n, id). ``relations`` counts the relations of
     the matches; cases with references count."""
     exact = predicted.alias("p").join(reference.alias("r"), ["case_id", "id"]).select("case_id", F.col("p.n").alias("left"), F.col("r.n").alias("right"), F.lit(0).alias("tier"))
+    # Only relations to what is a reference at all: else each prediction meets all its ancestors' rows.
     near = relations.where((F.col("distance") <= most) & (F.col("distance") > 0))
+    near = near.join(reference.select(F.col("id").alias("reference")).distinct(), "reference", "left_semi")
     p = predicted.select("case_id", F.col("n").alias("left"), F.col("id").alias("prediction"))
     r = reference.select("case_id", F.col("n").alias("right"), F.col("id").alias("reference"))
     wide = p.join(near, "prediction").join(r, ["case_id", "reference"]).select("case_id", "left", "right", F.col("distance").cast("int").alias("tier"), "relation")

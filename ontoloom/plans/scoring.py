@@ -201,11 +201,11 @@ def relation_classify(t):
 def _layered(t):
     """Lines' suppliers against their orders' customers' nations, in tiers of distance 0, 1 and 2."""
     edges = _tree(t)
-    orders = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    p = orders.select(F.col("o_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"))
+    # Lines without an order have no reference, so their cases don't count.
+    p = t("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"))
     nation = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id"))
     r = t("orders").join(nation, "o_custkey").select(F.col("o_orderkey").alias("case_id"), F.lit(0).alias("n"), "id")
-    near = graph.closure(edges).where("depth <= 2").select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.lit("predicted_descendant").alias("relation"), F.col("depth").alias("distance"))
+    near = graph.closure(edges, 2).select(F.col("child").alias("prediction"), F.col("ancestor").alias("reference"), F.lit("predicted_descendant").alias("relation"), F.col("depth").alias("distance"))
     return p, r, near
 
 

@@ -179,3 +179,9 @@ def test_groups_of_sides_dealt_already(spark):
     rows = spark.range(30_000).selectExpr("id DIV 3 AS case_id", "id AS n", "array('x', uuid()) AS ids").repartition("case_id")
     got = scoring.group_scores(rows.dropDuplicates(["case_id", "ids"]), rows.where("n % 3 = 0").select("case_id", "n", F.slice("ids", 1, 1).alias("ids")))
     assert tuple(got.agg(F.count("*"), F.sum("tp"), F.sum("fp"), F.sum("fn")).first()) == (10_000, 10_000, 20_000, 0)
+
+
+def test_closure_ends_at_a_depth(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)], "child long, parent long")
+    for most in (1, 2):
+        assert sorted(map(tuple, graph.closure(edges, most).collect())) == [(a, b, b - a) for a in range(6) for b in range(a + 1, min(6, a + most + 1))]

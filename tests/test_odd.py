@@ -1,6 +1,7 @@
 """Queries over small tables of odd rows, against their SQL or plain Python."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -72,6 +73,31 @@ def test_dense_passes_on_the_best_of_a_partition(spark):
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
 
 
+def test_dense_worker_is_bounded(spark, monkeypatch):
+    """What a worker holds beside the k best of a pass is one tile, however many rows it reads and also
+    where all are equal; several passes give what one gives."""
+    vectors = np.random.default_rng(5).standard_normal((4000, 8))
+
+    def peak(rows, copies, n=300, k=129):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(c * 4000, c * 4000 + 4000)), pa.array(list(rows), pa.list_(pa.float32()))], ["row_id", "embedding"]) for c in range(copies)]
+        shared = SimpleNamespace(value=(np.arange(n), rows[:n].astype(float)))
+        tracemalloc.start()
+        count = sum(b.num_rows for b in retrieval._nearest(shared, k, retrieval.TILE)(iter(batches)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n * k
+        return most
+
+    for rows in (vectors, np.ones((4000, 8))):
+        once, often = peak(rows, 1), peak(rows, 5)
+        assert once < 25e6 and often < 1.1 * once
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors[:400])], "row_id long, embedding array<float>").repartition(3)
+    asked = rows.where("row_id % 10 = 0").select(rows.row_id.alias("query_id"), "embedding")
+    want = sorted(map(tuple, retrieval.dense_topk(asked, rows, 5).collect()))
+    monkeypatch.setattr(retrieval, "PASS", 15)
+    assert sorted(map(tuple, retrieval.dense_topk(asked, rows, 5).collect())) == want and len(want) == 200
+
+
 def test_spans_of_a_large_batch_are_few_objects():
     texts = pa.array(["Ab cd ef. " * 80, None, "", "ü"] * 500)
     tracemalloc.start()
